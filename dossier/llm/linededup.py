@@ -89,8 +89,8 @@ def row_key() -> Column:
     return F.struct(F.col("doc_id"), F.xxhash64("text").alias("t")).alias("row")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped and the kept text of every row of docs."""
+def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the kept text of every row of docs, and the columns in keep as they are."""
     spark = docs.sparkSession
     runs = LineRuns(spark, f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}")
     keys = stored(hashed(docs, id_col, text_col))
@@ -100,9 +100,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, id_col: s
     frequent = runs.counts().filter(F.col("n_docs") >= min_docs).select("h1", "h2")
     marks = keys.select("row", F.explode("keys").alias("k")).select("row", "k.h1", "k.h2").join(frequent, ["h1", "h2"])
     dropped = marks.groupBy("row").agg(F.collect_set(F.struct("h1", "h2")).alias("dropped"))
-    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("row", row_key())
+    rows = pick(docs, doc_id=id_col, text=text_col, **{f"keep_{c}": c for c in keep}).withColumn("row", row_key())
     joined = rows.join(dropped.withColumnRenamed("row", "of_row"), F.col("row") == F.col("of_row"), "left")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     kept = F.when(F.col("dropped").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("dropped"), line_hash(x)), F.lit(False))))
-    out = joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
+    out = joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"), *[f"keep_{c}" for c in keep])
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"), *[F.col(f"keep_{c}").alias(c) for c in keep])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, linededup, packing, quality, rules, simhash
+from dossier.llm import ann, bpe, chat, html, linededup, packing, quality, rules, simhash, suffix
 from dossier.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -28,6 +28,25 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.rotate(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "participant", "part", "n_segments", "text", F.array_join(F.col("segment_chars").cast("array<string>"), ",").alias("segment_chars"), F.array_join(F.col("loss_mask").cast("array<string>"), ",").alias("loss_mask"))
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeated(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["stop"] - s["start"]))
+    return found.select("doc_id", (F.octet_length("kept") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_table(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -46,9 +65,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op7_bpe, op8_packing, op9_rules, op10_line_dedup)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (pipeline, op1_quality, op2_simhash, op3_nearest, op4_chat, op5_main_text, op6_suffix, op7_bpe, op8_packing, op9_rules, op10_line_dedup)}
 
 ORACLE_SQL = {
+    "op3_nearest": """
+with v as (select vec_id, embedding::double[64] as e from embeddings where embedding is not null and len(embedding) = 64),
+pairs as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e::double[], c.e::double[]), lambda z: z[1] * z[2])) as s from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by s desc, vec_id) as rank from pairs)
+select query_id, rank::integer as rank, vec_id, s as score from ranked where rank <= 20""",
+    "op4_chat": """
+with turns as (select conv_id, coalesce(role, 'unknown') as role, coalesce(text, '') as text, turn, coalesce(floor(turn / 256), 0)::bigint as part from conversations),
+speakers as (select distinct conv_id, role as participant from turns where role <> 'system'),
+segments as (select t.conv_id, participant, part, turn, role, text,
+  '<|im_start|>' || case when role = participant then 'assistant' when role = 'system' then 'system' else 'user name=' || role end || chr(10) || text || '<|im_end|>' || chr(10) as segment
+  from turns t join speakers s on t.conv_id is not distinct from s.conv_id)
+select conv_id, participant, part, count(*)::bigint as n_segments, string_agg(segment, '' order by turn, role, text) as text,
+  string_agg(length(segment)::varchar, ',' order by turn, role, text) as segment_chars,
+  string_agg(case when role = participant then '1' else '0' end, ',' order by turn, role, text) as loss_mask
+from segments group by conv_id, participant, part""",
     "op10_line_dedup": """
 with rows as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 lines as (select r, unnest(ls) as line, generate_subscripts(ls, 1) as k from rows),

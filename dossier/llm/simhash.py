@@ -188,3 +188,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3, id_col: st
     least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
     by_fp = grouped.join(least, "component").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 3, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of their group; one of them where such rows repeat."""
+    groups = near_duplicates(docs, width, budget, id_col, text_col)
+    chosen = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("of_doc")).distinct()
+    return docs.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("of_doc"))).drop("of_doc").dropDuplicates([id_col])
