@@ -91,7 +91,9 @@ def _best(q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, c: np.ndarray, c_
         kth = np.partition(products, len(c) - k, axis=1)[:, len(c) - k]
         least = np.maximum(least, kth)
     row, col = np.nonzero((products >= (least - MARGIN)[:, None]) & (products > -np.inf))
-    score = (q[row] * c[col]).sum(1)  # in one order of additions for every pair
+    score = np.zeros(len(row))
+    for j in range(q.shape[1]):  # in one order of additions for every pair
+        score += q[row, j] * c[col, j]
     order = np.lexsort((c_ids[col], -score, row))
     row, col, score = row[order], col[order], score[order]
     begin = np.r_[0, np.flatnonzero(row[1:] != row[:-1]) + 1] if len(row) else np.zeros(0, np.int64)

@@ -75,8 +75,8 @@ QUERIES = {f.__name__: f for f in (pipeline, op1_quality, op2_simhash, op3_neare
 
 ORACLE_SQL = {
     "op3_nearest": """
-with v as (select vec_id, embedding::double[64] as e from embeddings where embedding is not null and len(embedding) = 64),
-pairs as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e::double[], c.e::double[]), lambda z: z[1] * z[2])) as s from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(embedding) = 64),
+pairs as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as s from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
 ranked as (select *, row_number() over (partition by query_id order by s desc, vec_id) as rank from pairs)
 select query_id, rank::integer as rank, vec_id, s as score from ranked where rank <= 20""",
     "op4_chat": """
