@@ -24,6 +24,7 @@ their own, and equal ones are repeated throughout. Empty tables give no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm.common import partitions, pick, stored
 
-K, GROUP, SLICE, INDEX_BYTES = 32, 2000, 4_000_000, 1_000_000
+K, GROUP, BLOCK, SLICE, INDEX_BYTES = 32, 2000, 16, 4_000_000, 1_000_000
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
 _BYTE = np.random.default_rng(6).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _MOVE = np.uint64(32)
@@ -137,7 +138,7 @@ def find_anchors(docs: DataFrame, size: int) -> DataFrame:
 
 
 #: kind: M its windows are repeated; D compare by the index; H compare by counting windows.
-def settle(rows: DataFrame) -> DataFrame:
+def settle(rows: DataFrame, group: int = GROUP) -> DataFrame:
     """kind and the columns of ROWS: marks and what is left to compare. Stretches around an anchor that stands once are gone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def settle(rows: DataFrame) -> DataFrame:
             kinds = np.bincount(of_h[new_w])[of_h]  # unequal stretches around the anchor
             repeated = settled | (in_w > 1) | (more == 1)
             compare = new_w & (kinds > 1) & ~settled
-            kind = np.where(kinds > GROUP, "H", "D")
+            kind = np.where(kinds > group, "H", "D")
             for rows_at, what in ((np.flatnonzero(repeated), "M"), (np.flatnonzero(compare & (kind == "D")), "D"), (np.flatnonzero(compare & (kind == "H")), "H")):
                 if len(rows_at):
                     out = t.take(pa.array(rows_at)).combine_chunks()
@@ -291,30 +292,51 @@ def compare(stretches: DataFrame, size: int) -> DataFrame:
 
 
 def count_windows(stretches: DataFrame, size: int) -> DataFrame:
-    """stretches as for compare, of anchors with very many: marks by counting equal windows at equal places around the anchor."""
+    """stretches as for compare, of anchors with very many: marks by counting equal windows at equal places around the anchor.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+    Blocks of BLOCK windows are counted first, as one string each; a block that stands twice is one mark. Only the
+    windows of other blocks are counted one by one, with one of each repeated block for them to meet.
+    """
+    names = ["h", "rel", "n", "w", "doc_id", "t", "start", "more", "data"]
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for h, doc_id, t, first, off, more, data in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "t", "first", "off", "more", "data")), strict=True):
-                for k in range(len(data) - size + 1):
-                    w = hashlib.blake2b(data[k : k + size], digest_size=16).digest()
-                    rows.append((h, off - k, w, doc_id, t, first + k, more + 1))
+                k, n = 0, len(data) - size + 1
+                while k < n:  # block borders lie at equal places around the anchor
+                    stop = min(n, k + BLOCK - (k - off) % BLOCK)
+                    own = data[k : stop - 1 + size]
+                    rows.append((h, k - off, stop - k, hashlib.blake2b(own, digest_size=16).digest(), doc_id, t, first + k, more, own))
+                    k = stop
+            if rows:
+                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for h, rel, doc_id, t, start, times, data in zip(*(b.column(c).to_pylist() for c in ("h", "rel", "doc_id", "t", "start", "times", "data")), strict=True):
+                rows += [(h, rel + k, hashlib.blake2b(data[k : k + size], digest_size=16).digest(), doc_id, t, start + k, times) for k in range(len(data) - size + 1)]
             if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["h", "rel", "w", "doc_id", "t", "start", "n"])
+                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["h", "rel", "w", "doc_id", "t", "start", "times"])
 
-    windows = stretches.mapInArrow(run, "h long, rel int, w binary, doc_id long, t long, start int, n int")
-    twice = windows.groupBy("h", "rel", "w").agg(F.sum("n").alias("n")).filter("n > 1").drop("n")
-    return windows.drop("n").join(twice, ["h", "rel", "w"]).select("doc_id", "t", "start", (F.col("start") + size).alias("stop"))
+    cut = stored(stretches.mapInArrow(blocks, "h long, rel int, n int, w binary, doc_id long, t long, start int, more int, data binary"))
+    key = ["h", "rel", "n", "w"]
+    counted = cut.groupBy(*key).agg(F.sum(F.col("more") + 1).alias("times"), F.min(F.struct("doc_id", "t", "start")).alias("lead"))
+    known = stored(cut.join(counted, key))
+    whole = known.filter("times > 1 and more = 0").select("doc_id", "t", "start", (F.col("start") + F.col("n") - 1 + size).alias("stop"))
+    single = known.filter((F.col("times") == 1) | (F.struct("doc_id", "t", "start") == F.col("lead")))
+    each = single.select("h", "rel", "doc_id", "t", "start", "times", "data").mapInArrow(windows, "h long, rel int, w binary, doc_id long, t long, start int, times long")
+    twice = each.groupBy("h", "rel", "w").agg(F.sum("times").alias("found")).filter("found > 1").drop("found")
+    apart = each.filter("times = 1").join(twice, ["h", "rel", "w"], "left_semi").select("doc_id", "t", "start", (F.col("start") + size).alias("stop"))
+    return whole.unionAll(apart)
 
 
-def repeated_spans(docs: DataFrame, size: int = 200) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = 200, group: int = GROUP) -> DataFrame:
     """docs: doc_id, t, data. Marks as MARKS, which may overlap."""
     spark = docs.sparkSession
     n = max(8, partitions(spark))
-    found = stored(settle(find_anchors(docs, size).repartition(n, "key").sortWithinPartitions("key", "h", "whole")))
+    found = stored(settle(find_anchors(docs, size).repartition(n, "key").sortWithinPartitions("key", "h", "whole"), group))
     marks = found.filter("kind = 'M'").select("doc_id", "t", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + size).alias("stop"))
     wanted = found.filter("kind <> 'M'").groupBy("doc_id", "t").agg(F.collect_set(F.struct("kind", "h", "first", "n", "off", "more")).alias("wanted"))
     texts = docs.join(wanted, docs["t"].eqNullSafe(wanted["t"]) & docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(docs["doc_id"], docs["t"], "data", "wanted")
@@ -325,11 +347,11 @@ def repeated_spans(docs: DataFrame, size: int = 200) -> DataFrame:
     return marks.unionAll(by_index).unionAll(count_windows(cut.filter("kind = 'H'"), size))
 
 
-def remove_repeated(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), group: int = GROUP) -> DataFrame:
     """doc_id, spans (removed runs as start and stop in bytes), kept (bytes) of every row, and the columns in keep as they are."""
     kept_names = {f"keep_{c}": c for c in keep}
     all_rows = pick(docs, doc_id=id_col, text=text_col, **kept_names).withColumn("data", F.coalesce(F.col("text"), F.lit("")).cast("binary")).withColumn("t", F.xxhash64("data")).drop("text")
-    marks = repeated_spans(all_rows.select("doc_id", "t", "data"), size)
+    marks = repeated_spans(all_rows.select("doc_id", "t", "data"), size, group)
     by_doc = marks.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "stop")).alias("marks")).withColumnsRenamed({"doc_id": "of_doc", "t": "of_t"})
     joined = all_rows.join(by_doc, F.col("t").eqNullSafe(F.col("of_t")) & F.col("doc_id").eqNullSafe(F.col("of_doc")), "left").drop("of_doc", "of_t", "t")
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
