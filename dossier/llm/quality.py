@@ -2,10 +2,10 @@
 
 Two zstandard dictionaries are trained, on good and on bad labelled text. A text is cut into blocks, each
 block is compressed with either dictionary, and the normalised difference of the sums (with the ratio that
-both reach) goes through a logistic calibration fitted on labelled texts that the dictionaries have not
-seen. Blocks keep the dictionaries' share alike in short and long texts; all blocks of a text count.
+both reach) goes through a logistic calibration fitted in two folds on labelled texts that the fold's
+dictionaries have not seen. Blocks keep the dictionaries' share alike in short and long texts; all blocks of a text count.
 
-Only the labelled sample is bounded, by PER_CLASS texts of each label, of SAMPLE_CHARS characters at most;
+Only the labelled sample is bounded, by PER_CLASS ids of each label, with texts of SAMPLE_CHARS characters at most;
 it is what the driver holds. Scoring is one pass without a shuffle. Null and empty texts get the
 calibration's score for no difference. If a label is missing altogether, all scores are the share of
 label 1. Ties, repeated rows and further columns don't matter; conflicting labels of one document all count.
@@ -64,20 +64,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
-    """labelled: text and label 0 or 1. The sample is the first per_class rows of each label by a hash of the id."""
-    rows = pick(labelled, doc_id=id_col, text=text_col, label=label_col).filter(F.length("text").between(1, SAMPLE_CHARS))
-    sample = [rows.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("text").toPandas()["text"].tolist() for y in (0, 1)]
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
+    """docs: texts; labels: id and label 0 or 1, of the rows that may be learned from.
+
+    The sample is chosen among the labels, the first per_class ids of each by a hash; these few ids alone go to the
+    documents' tasks, so no text is shuffled and only the sample's texts (SAMPLE_CHARS at most) come back.
+    """
+    known = pick(labels, doc_id=id_col, label=label_col)
+    ids = [known.filter(F.col("label") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    chosen = ids[0].unionAll(ids[1])  # 2 x per_class rows at most
+    rows = pick(docs, doc_id=id_col, text=text_col).filter(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(chosen), "doc_id").toPandas()
+    rows = rows.sort_values(["doc_id", "text"])
+    sample = [rows["text"][rows["label"] == y].tolist() for y in (0, 1)]
     bad, good = ([t.encode() for t in own] for own in sample)
     if len(bad) < 2 or len(good) < 2:
         share = (len(good) + 0.5) / (len(good) + len(bad) + 1)
         return Model(b"", b"", (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0))
-    dicts = [_train(own[::2]) for own in (good, bad)]
-    compressors = tuple(_compressor(d) for d in dicts)
-    fresh = [(t, y) for own, y in ((good, 1), (bad, 0)) for t in own[1::2]]
-    n = np.array([len(t) for t, _ in fresh])
-    sizes = np.array([_sizes(t, compressors) for t, _ in fresh], float)
-    return Model(*dicts, tuple(_logistic(features(n, sizes[:, 0], sizes[:, 1]), np.array([y for _, y in fresh], float)).tolist()))
+    seen, label = [], []
+    for fold in (0, 1):  # sizes for the calibration come from dictionaries that have not seen the text
+        compressors = tuple(_compressor(_train(own[1 - fold :: 2])) for own in (good, bad))
+        for own, y in ((good, 1.0), (bad, 0.0)):
+            seen += [(len(t), *_sizes(t, compressors)) for t in own[fold::2]]
+            label += [y] * len(own[fold::2])
+    n, g, b = np.array(seen, float).T
+    return Model(_train(good), _train(bad), tuple(_logistic(features(n, g, b), np.array(label)).tolist()))
 
 
 def _train(texts: list[bytes]) -> bytes:

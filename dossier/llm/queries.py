@@ -12,15 +12,14 @@ from dossier.llm.common import table
 BYTE_BPE = "byte_bpe_50k.json"
 
 
-def training_rows(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """Labelled rows of docs outside the held-out fold."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter("quality is not null")
-    return docs.select("doc_id", "text").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).join(labels, "doc_id")
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels outside the held-out fold."""
+    return table(spark, sf_dir, "labels").select("doc_id", "quality").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = quality.score(docs, quality.fit(training_rows(spark, sf_dir, docs)))
+    scored = quality.score(docs, quality.fit(docs, training_labels(spark, sf_dir)))
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
 
 
