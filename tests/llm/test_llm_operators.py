@@ -119,8 +119,27 @@ def test_simhash(docs, rows, none):
     wanted = Counter((r[0], f"{naive_fingerprint(r[1]):016x}", least[label[naive_fingerprint(r[1])]]) for r in rows)
     assert Counter(tuple(r) for r in got) == wanted
     assert simhash.near_duplicates(none).count() == 0
+
+
+def test_near_copies(spark, docs, none):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    data, group = [], {}
+    for g in range(40):
+        base = [word() for _ in range(300)]
+        for k in range(4):
+            own = list(base)
+            for at in range(k, 300, 100):  # 3 of 300 words: similarity about 0.9
+                own[at] = own[at] if k == 0 else word()
+            group[len(data)] = g
+            data.append((len(data), " ".join(own)))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    together = [found[i] == found[j] for i in group for j in group if i < j and group[i] == group[j]]
+    apart = [found[i] == found[j] for i in group for j in group if i < j and group[i] != group[j]]
+    assert np.mean(together) > 0.97 and not any(apart)
     kept = simhash.representatives(docs)
-    assert kept.count() == len(set(least.values())) and set(kept.columns) == set(docs.columns)
+    assert set(kept.columns) == set(docs.columns) and 60 < kept.count() <= docs.select("text").distinct().count()
+    assert simhash.near_copies(none).count() == 0
 
 
 def test_trie_finds_every_close_pair():
