@@ -11,6 +11,7 @@ from dossier.operators import answer, coverage
 from dossier.operators.embedding import embed_documents, hashed_embedder
 from dossier.operators.selection import dropped_pairs, select_with_floor
 from dossier.plans.engine import Engine, lexeme_index
+from dossier.plans.settle import settle
 
 NORMAL, GRADUATED = "ticker in ('en', 'de') and period_year in (0, 1)", "ticker in ('en', 'de') and period_year in (0, 1, 2)"
 
@@ -46,7 +47,7 @@ def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pool = _pool(spark, sf_dir)
+    pool = settle(_pool(spark, sf_dir))
     chosen = select_with_floor(pool.drop("metadata"), 2, 8, ["request_id"]).withColumn("filing_type", F.lit("10-K"))
     return chosen, dropped_pairs(pool, 2, 8, ["request_id"]), coverage.needed_pairs(_plans(spark, sf_dir))
 
@@ -106,8 +107,8 @@ def ask_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     roster = spark.createDataFrame([("EN", "English Holdings"), ("DE", "Deutsche Company"), ("FR", "French Inc."), ("ES", "Spanish Corp")], "ticker string, name string")
     chunks = corpus(spark, sf_dir).withColumns({"ticker": F.upper("ticker"), "period_year": F.col("period_year") % 6 + 2021, "embedding_model_version": F.lit("hashed-64")}).drop("embedding")
     embedder = hashed_embedder(64)
-    chunks = embed_documents(chunks, embedder, "hashed-64")
-    engine = Engine(chunks, roster, lexeme_index(chunks), "hashed-64", Settings(), embedder)
+    chunks = settle(embed_documents(chunks, embedder, "hashed-64"))
+    engine = Engine(chunks, roster, settle(lexeme_index(chunks)), "hashed-64", Settings(), embedder)
     first = F.substring_index(F.regexp_replace("text", r"[^\p{L} ]", ""), " ", 2)
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("request_id"), F.concat(F.lit("Compare English and Deutsche "), first, F.lit(" in 2023 versus 2024")).alias("question"))
     return engine.ask(questions)
