@@ -27,11 +27,14 @@ from dossier.llm.common import pick
 
 #: Fixed value: the pre-tokenizer's pattern of this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same cuts where white space stands alone, without looking ahead, which is faster.
+SIMPLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 #: Fixed value: Unicode's White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Letters, digits and marks that every Unicode version classes alike; runs with others are left to the library.
-USUAL = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\u0233\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2010-\u2027\u20ac]+")
+_USUAL = r"\x21-\x7e\xa1-\xac\xae-\u0233\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2010-\u2027\u20ac"
+USUAL, UNUSUAL = re.compile(rf"[{_USUAL}]+"), re.compile(rf"[^{_USUAL} \n]")
 #: A place at which the pre-tokenizer always cuts: before a space that stands between two other characters.
 CUT = re.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 WORDS_KEPT, CHUNKS_KEPT = 500_000, 40_000
@@ -57,15 +60,17 @@ class ByteBPE:
         ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items()}
         self.bytes_of = {i: b for b, i in ranks.items()} | {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
         self.text_of = {i: str(i) for i in self.bytes_of}
+        self.simple = tiktoken.Encoding("simple", pat_str=SIMPLE, mergeable_ranks=ranks, special_tokens={})
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.line = self.fast.encode_ordinary("\n")
+        (self.line_id,) = self.fast.encode_ordinary("\n")
         self.words: dict[str, bytes] = {}
         self.chunks: dict[bytes, tuple[str, bytes, str] | None] = {}
 
     def by_library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, runs: Iterable[str]) -> None:
+    def _runs(self, runs: set[str]) -> None:
+        """Learn runs of characters that are not white space, with or without a space before them, and of white space."""
         usual = []
         for run in runs:
             if USUAL.fullmatch(run, 1 if run[0] == " " else 0):
@@ -74,7 +79,7 @@ class ByteBPE:
                 self.words[run] = self.by_library(run)
         if usual:  # all in one call, a line for each
             ids = np.array(self.fast.encode_ordinary("\n".join(usual)), "<u4")
-            at = np.flatnonzero(ids == self.line[0])
+            at = np.flatnonzero(ids == self.line_id)
             assert len(at) == len(usual) - 1
             data, ends = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
             start = 0
@@ -83,15 +88,23 @@ class ByteBPE:
                 start = end + 4
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        special = [any(s in t for s in self.special) for t in texts]
-        runs = [[] if odd else RUNS.findall(t) for t, odd in zip(texts, special, strict=True)]
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
-        seen: set[str] = set().union(*runs)
-        if new := seen.difference(self.words):
-            self._learn(new)
-        get = self.words.__getitem__
-        return [self.by_library(t) if odd else b"".join(map(get, r)) for t, odd, r in zip(texts, special, runs, strict=True)]
+        joined = "\n".join(texts)
+        special = any(s in joined for s in self.special)
+        usual = not UNUSUAL.search(joined)
+        out = []
+        for t in texts:
+            if special and any(s in t for s in self.special):
+                out.append(self.by_library(t))
+            elif usual or not UNUSUAL.search(t):
+                lone = not any(pair in t for pair in ("  ", "\n\n", " \n", "\n "))
+                out.append(np.array((self.simple if lone else self.fast).encode_ordinary(t), "<u4").tobytes())
+            else:
+                runs = RUNS.findall(t)
+                self._runs(set(runs).difference(self.words))
+                out.append(b"".join(map(self.words.__getitem__, runs)))
+        return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
