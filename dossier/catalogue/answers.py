@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.catalogue.base import SCORED_SQL, corpus, scored, table
 from dossier.config import Settings
+from dossier.functions.numbers import effective_floor
 from dossier.operators import answer, coverage
 from dossier.operators.embedding import embed_documents, hashed_embedder
 from dossier.operators.selection import dropped_pairs, select_with_floor
@@ -99,7 +100,7 @@ def meta_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
     known = plans.withColumns({"plan_tickers": F.col("tickers"), "unavailable_tickers": none, "unavailable_companies": none, "unavailable_years": none})
     events = answer.events(answer.meta(known, verdicts), answer.with_caveat(answer.extractive(plans.select("request_id"), selected), verdicts), answer.citations(selected))
-    return events.select("request_id", F.col("seq").cast("long"), "event", F.get_json_object("data", "$.confidence").alias("confidence"), F.get_json_object("data", "$.token_count").cast("long").alias("token_count"))
+    return events.select("request_id", F.col("seq").cast("long"), "event", F.get_json_object("data", "$.confidence").alias("confidence"), F.coalesce(F.get_json_object("data", "$.token_count").cast("long"), F.lit(-1)).alias("token_count"))
 
 
 def ask_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +128,29 @@ def synthesis_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("request_id", answer.synthesis_prompt(F.col("request_id"), F.col("evidence"), F.col("tickers"), none, F.col("years"), F.col("dropped")).alias("prompt"))
 
 
+def marker_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that cite the first, third and twelfth passage, and where their markers lead."""
+    selected, _, _ = _selected(spark, sf_dir)
+    answers = _plans(spark, sf_dir).select("request_id", F.lit("As told [1], and again [3][1], but not [12].").alias("text"))
+    return answer.marker_links(answers, answer.citations(selected)).select("request_id", F.col("place").cast("long"), F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"), "ticker")
+
+
+def wire_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extractive answers as server-sent frames of token events."""
+    selected, _, _ = _selected(spark, sf_dir)
+    told = answer.extractive(_plans(spark, sf_dir).select("request_id"), selected.withColumn("text", F.col("chunk_id").cast("string")))
+    return answer.frames(told.select("request_id", F.col("seq").cast("long").alias("seq"), F.lit("token").alias("event"), F.to_json(F.struct("text")).alias("data")))
+
+
+def floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The floor that each source's number of pairs leaves of a floor of 3 under a cap of 20."""
+    pairs = corpus(spark, sf_dir).select(F.col("section").alias("request_id"), "ticker", "period_year").distinct().groupBy("request_id").agg(F.count("*").alias("n_pairs"))
+    return pairs.select("request_id", "n_pairs", effective_floor(F.col("n_pairs"), 3, 20).cast("long").alias("floor"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (select_with_floor_normal, select_with_floor_graduated, select_with_floor_overflow, capacity_dropped, coverage_gaps, coverage_capacity_split, evaluate_verdict, pair_closure_check, citations, evidence_render, degraded_answer, meta_event, ask_events, roster_render, synthesis_prompts)
+    for f in (marker_links, wire_events, floors, select_with_floor_normal, select_with_floor_graduated, select_with_floor_overflow, capacity_dropped, coverage_gaps, coverage_capacity_split, evaluate_verdict, pair_closure_check, citations, evidence_render, degraded_answer, meta_event, ask_events, roster_render, synthesis_prompts)
 }
 
 # By is the request's column and a comma, or nothing.
@@ -170,7 +191,13 @@ union all select request_id, place, chr(10) || '[' || ticker || ' 10-K ' || peri
     "meta_event": f"""{_PLAN}, tokens as (select request_id, -1 as pos from verdict where confidence = 'low' union all select request_id, 0 from requests union all select request_id, 1 from counts where n_chosen = 0 union all select request_id, place from chosen),
 told as (select request_id, 0 as stage, 0 as pos, 'meta' as event, confidence, null::bigint as token_count from verdict union all select request_id, 1, pos, 'token', null, null from tokens
 union all select request_id, 2, 0, 'citations', null, null from requests union all select request_id, 3, 0, 'done', null, count(*) from tokens group by 1)
-select request_id, row_number() over (partition by request_id order by stage, pos) - 1 as seq, event, confidence, token_count from told""",
+select request_id, row_number() over (partition by request_id order by stage, pos) - 1 as seq, event, confidence, coalesce(token_count, -1) as token_count from told""",
+    "marker_links": f"{_PLAN} select request_id, place, coalesce(chunk_id, -1) as chunk_id, ticker from (select request_id, unnest([1, 3, 12])::bigint as place from requests) left join chosen using (request_id, place)",
+    "wire_events": f"""{_PLAN}, told as (select request_id, 0::bigint as seq, '_Synthesis is temporarily unavailable; showing the most relevant source excerpts directly._' || chr(10) as text from requests
+union all select request_id, 1, chr(10) || 'No relevant filing excerpts were retrieved for this query.' || chr(10) from counts where n_chosen = 0
+union all select request_id, place, chr(10) || '[' || ticker || ' 10-K ' || period_year || ' · ' || section || ']' || chr(10) || chunk_id || chr(10) from chosen)
+select request_id, seq, 'event: token' || chr(10) || 'data: ' || to_json({{'text': text}})::varchar || chr(10) || chr(10) as frame from told""",
+    "floors": f"with {SCORED_SQL}, n as (select section as request_id, count(distinct (ticker, period_year)) as n_pairs from corpus group by 1) select request_id, n_pairs, (case when n_pairs * 3 <= 20 then 3 when n_pairs <= 20 then greatest(1, 20 // n_pairs) else 1 end)::bigint as floor from n",
     "roster_render": "select string_agg('- ' || s_suppkey || ' — ' || s_name, chr(10) order by s_suppkey::varchar) as roster from supplier",
     "synthesis_prompts": f"""{_PLAN}, rows as (select request_id, coalesce(evidence, '(no passages retrieved)') as evidence from requests left join ({_EVIDENCE}) using (request_id)),
 t as (select request_id, string_agg(ticker, ', ' order by ticker) as tickers from (select distinct section as request_id, ticker from corpus) group by 1),

@@ -143,9 +143,33 @@ def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations("filings", rows)
 
 
+def companies_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as companies: those of odd keys are there, every third one comes again with another sector."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ticker"), F.col("c_name").alias("name"), F.lpad(F.col("c_nationkey").cast("string"), 10, "0").alias("cik"), F.col("c_mktsegment").alias("sector"), "c_custkey")
+    target = rows.filter("c_custkey % 2 = 1").withColumn("sic_code", F.lit("old")).drop("c_custkey")
+    source = rows.filter("c_custkey % 3 = 0").withColumn("sector", F.lower("sector")).drop("c_custkey")
+    return merges.upsert_companies(target, source)
+
+
+def attempts_startable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which filings have attempts left, and the job that a start would add."""
+    filings, jobs = _job_filings(spark, sf_dir), _jobs(spark, sf_dir)
+    started = ledger.start(filings, jobs, F.lit("2024-02-01 00:00:00").cast("timestamp")).select("filing_id", F.col("status").alias("new_status"))
+    return ledger.startable(filings, jobs).select("filing_id", F.col("attempts").cast("long").alias("attempts"), "may_start").join(started, "filing_id", "left")
+
+
+def attempts_ended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running jobs ended: those of even filings done, the others failed at the parse step with the start of a long error."""
+    running = _jobs(spark, sf_dir).filter("status = 'running'")
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    done = ledger.complete(running.filter("filing_id % 2 = 0"), now)
+    failed = ledger.fail(ledger.record_step(running.filter("filing_id % 2 = 1"), "parse"), F.repeat(F.col("job_id"), F.lit(200)), now)
+    return done.unionByName(failed).select("job_id", "status", "step", F.coalesce(F.length("error"), F.lit(0)).cast("long").alias("n_error"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (submissions_unnest, page_overlap, discover_dedup, filings_upsert_backfill, chunk_upsert_merge, corpus_model_guard, attempts_count, claim_retryable, reap_running, status_from_ledger, quota_running_total, token_aware_batches, token_bucket_schedule, breaker_replay, constraint_violations)
+    for f in (companies_upsert, attempts_startable, attempts_ended, submissions_unnest, page_overlap, discover_dedup, filings_upsert_backfill, chunk_upsert_merge, corpus_model_guard, attempts_count, claim_retryable, reap_running, status_from_ledger, quota_running_total, token_aware_batches, token_bucket_schedule, breaker_replay, constraint_violations)
 }
 
 _UNNEST = """o as (select *, row_number() over (partition by o_custkey order by o_orderkey) as i, count(*) over (partition by o_custkey) as n, lpad(o_custkey::varchar, 10, '0') as cik, '0000-00-' || o_orderkey as acc from orders),
@@ -192,5 +216,9 @@ case when state = 'open' then opened when outcome in ('hard', 'mid') and streak
 case when state = 'open' or outcome = 'hard' then 'fallback' when outcome = 'ok' then 'model' else 'error' end
 from (select o.user_id, o.i, o.event_id, o.pos, o.outcome, f.streak, f.opened, case when f.opened is null then 'closed' when o.pos - f.opened >= 43200 then 'half_open' else 'open' end as state from f join o on o.user_id = f.user_id and o.i = f.i + 1))
 select event_id, state, served from f where i > 0""",
+    "companies_upsert": """with t as (select c_custkey, c_custkey::varchar as ticker, c_name as name, lpad(c_nationkey::varchar, 10, '0') as cik, c_mktsegment as sector from customer)
+select ticker, name, cik, case when c_custkey % 3 = 0 then lower(sector) else sector end as sector, case when c_custkey % 2 = 1 then 'old' end as sic_code from t where c_custkey % 2 = 1 or c_custkey % 3 = 0""",
+    "attempts_startable": f"with {_JOBS} select filing_id, coalesce(attempts, 0) as attempts, coalesce(attempts, 0) < 3 as may_start, case when coalesce(attempts, 0) < 3 then 'running' end as new_status from filings left join counted using (filing_id)",
+    "attempts_ended": f"with {_JOBS} select job_id, case when filing_id % 2 = 0 then 'done' else 'failed' end as status, case when filing_id % 2 = 0 then 'embed' else 'parse' end as step, case when filing_id % 2 = 1 then 2000::bigint else 0 end as n_error from jobs where status = 'running'",
     "constraint_violations": "select 'status in domain' as constraint, count(*) as n from orders where o_orderstatus not in ('F', 'O') union all select 'accession format', count(*) from orders",
 }

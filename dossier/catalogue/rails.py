@@ -86,7 +86,7 @@ def toc_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user that stand for an hour or more before the next one; the last stands for the rest."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, sf_dir, "events").withColumn("next", F.lead("event_id").over(order)).withColumn("later", F.lead("ts").over(order))
-    return rows.filter(F.col("later").isNull() | (F.col("later") >= F.col("ts") + F.expr("interval 1 hour"))).select("event_id", "next")
+    return rows.filter(F.col("later").isNull() | (F.col("later") >= F.col("ts") + F.expr("interval 1 hour"))).select("event_id", F.coalesce("next", F.lit(-1)).alias("next"))
 
 
 def question_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +112,6 @@ select p_partkey, coalesce(string_agg(name, '|' order by i) filter (not known),
     "error_messages": "select conv_id, turn, upper(role[1]) || role[2:] || ' during graph' as message, left(text, 2000) as error from conversations",
     "blob_keys": "with o as (select o_orderkey, lpad(o_custkey::varchar, 10, '0') as cik, lpad(o_custkey::varchar, 10, '0') || '-' || strftime(o_orderdate, '%y') || '-' || lpad(o_orderkey::varchar, 6, '0') as acc from orders) select o_orderkey, 'filings/' || cik || '/' || acc || '.html' as r2_key, replace(acc, '-', '') as bare, acc || '.html' as name from o",
     "carry_forward": "select event_id, coalesce(last_value(case when event_type in ('signup', 'purchase') then event_type end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding), 'none') as part from events",
-    "toc_guard": "select event_id, next from (select event_id, ts, lead(event_id) over w as next, lead(ts) over w as later from events window w as (partition by user_id order by ts, event_id)) where later is null or later >= ts + interval 1 hour",
+    "toc_guard": "select event_id, coalesce(next, -1) as next from (select event_id, ts, lead(event_id) over w as next, lead(ts) over w as later from events window w as (partition by user_id order by ts, event_id)) where later is null or later >= ts + interval 1 hour",
     "question_validation": "select doc_id, coalesce(length(text) between 1 and 2000, false) as valid from documents",
 }
