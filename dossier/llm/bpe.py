@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from dossier.llm.common import pick
+from dossier.llm.common import pick, small
 
 #: Fixed value: the pre-tokenizer's pattern of this public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -199,7 +199,7 @@ def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for b in batches:
+        for b in small(batches):
             at = 0
             for texts in grouped([t or "" for t in b.column(1).to_pylist()]):
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode_by_chunks(texts)]
@@ -214,7 +214,7 @@ def digest_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        for b in batches:
+        for b in small(batches):
             n, ids_sha, text_sha = [], [], []
             for texts in grouped([t or "" for t in b.column(1).to_pylist()]):
                 for x in bpe.encode_by_chunks(texts):

@@ -20,7 +20,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from dossier.llm.common import pick
+from dossier.llm.common import pick, small
 
 WINDOW, SURGE = 3, 60
 TOKEN = re.compile(
@@ -146,7 +146,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = [main_text(h or "") for h in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.bpe import grouped, tokenizer
-from dossier.llm.common import pick, reliable
+from dossier.llm.common import pick, reliable, small
 
 BUCKETS = 64
 
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in small(batches):
             ids, at = b.column(0).to_pylist(), 0
             rows: list[tuple] = []
             for texts in grouped([t or "" for t in b.column(1).to_pylist()]):

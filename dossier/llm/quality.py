@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import pick
+from dossier.llm.common import pick, small
 
 PER_CLASS, SAMPLE_CHARS, BLOCK, DICT_BYTES, LEVEL = 3000, 20_000, 4096, 64_000, 3
 
@@ -105,7 +105,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = (_compressor(model.good), _compressor(model.bad)) if model.good else None
         w = np.array(model.weights)
-        for b in batches:
+        for b in small(batches):
             texts = [(t or "").encode() for t in b.column(1).to_pylist()]
             n = np.array([len(t) for t in texts], float)
             sizes = np.array([_sizes(t, compressors) if compressors else (0, 0) for t in texts], float).reshape(-1, 2)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import BLANKS, WORD, pick, reliable
+from dossier.llm.common import BLANKS, WORD, pick, reliable, small
 
 #: Fixed values of the contract.
 SYMBOLS, SPAN, MIN_WORDS, MAX_REPEAT_PERCENT = "#*$%&|<>", 8, 20, 30
@@ -69,7 +69,7 @@ NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = [measure(t or "") for t in b.column(3).to_pylist()]
             columns = zip(*found, strict=True) if found else [[]] * len(NAMES)
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "lang", "source", *NAMES])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import WORD, partitions, pick, reliable
+from dossier.llm.common import WORD, partitions, pick, reliable, small
 
 BITS, SEED = 64, 42
 _word = re.compile(WORD.encode().replace(b"\\x20", b" "))
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     """doc_id and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             found = np.array([fingerprint(t or b"", width) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.record_batch([b.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
@@ -297,7 +297,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col
     """doc_id, component_id of every row: groups over links between texts whose sets of five-word shingles are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.record_batch([b.column(0), pa.array([long_fingerprint(t or b"", width) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "fp"])
 
     rows = reliable(pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp binary").withColumn("node", F.xxhash64("fp")))

@@ -28,28 +28,29 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import partitions, pick, stored
+from dossier.llm.common import partitions, pick, small, stored
 
-K, GROUP, BLOCK, SLICE, INDEX_BYTES = 32, 2000, 16, 4_000_000, 1_000_000
+K, GROUP, BLOCK, SLICE, INDEX_BYTES = 32, 2000, 16, 1_000_000, 1_000_000
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
 _BYTE = np.random.default_rng(6).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _MOVE = np.uint64(32)
 
 
-def _grams(data: np.ndarray, upto: int) -> dict[int, np.ndarray]:
-    """Hashes of the 2, 4, 8, ... upto bytes from each place on."""
+def _grams(data: np.ndarray, widths: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """Hashes of so many bytes (powers of 2) from each place on."""
     h, width, out = _BYTE[data], 1, {}
-    while width < upto and len(h) > width:
-        m = _M[width.bit_length() - 1]
-        h = h[:-width] * m + h[width:]
-        h ^= h >> _MOVE
+    while width < max(widths) and len(h) > width:
+        left = h[:-width] * _M[width.bit_length() - 1]
+        left += h[width:]
+        left ^= left >> _MOVE
+        h = left
         width *= 2
-        out[width] = h
+        if width in widths:
+            out[width] = h
     return out
 
 
@@ -64,7 +65,7 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """data: documents of size bytes or more, end to end. For each run of windows with one anchor: document, first window, windows, anchor's offset in the first, anchor's hash, hash of the stretch."""
-    grams = _grams(data, 128)
+    grams = _grams(data, (K, 128))
     h = grams[K]
     bits = max(1, int(len(h)).bit_length())
     low = np.uint64((1 << bits) - 1)
@@ -347,8 +348,11 @@ def repeated_spans(docs: DataFrame, size: int = 200, group: int = GROUP) -> Data
     return marks.unionAll(by_index).unionAll(count_windows(cut.filter("kind = 'H'"), size))
 
 
-def remove_repeated(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), group: int = GROUP) -> DataFrame:
-    """doc_id, spans (removed runs as start and stop in bytes), kept (bytes) of every row, and the columns in keep as they are."""
+def remove_repeated(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), group: int = GROUP, whole_characters: bool = False) -> DataFrame:
+    """doc_id, spans (removed runs as start and stop in bytes), kept (bytes) of every row, and the columns in keep as they are.
+
+    whole_characters: what is left of a character that a span's border cuts goes from kept too, which then is UTF-8.
+    """
     kept_names = {f"keep_{c}": c for c in keep}
     all_rows = pick(docs, doc_id=id_col, text=text_col, **kept_names).withColumn("data", F.coalesce(F.col("text"), F.lit("")).cast("binary")).withColumn("t", F.xxhash64("data")).drop("text")
     marks = repeated_spans(all_rows.select("doc_id", "t", "data"), size, group)
@@ -357,29 +361,26 @@ def remove_repeated(docs: DataFrame, size: int = 200, id_col: str = "doc_id", te
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+        for b in small(batches):
             spans, kept = [], []
-            for data, own in zip(b.column("data").to_pylist(), b.column("marks").to_pylist(), strict=True):
-                runs: list[list[int]] = []
-                for s, e in sorted((m["start"], m["stop"]) for m in own or ()):
-                    if runs and s <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], e)
-                    else:
-                        runs.append([s, e])
+            for data, own in zip(b.column("data"), b.column("marks"), strict=True):
+                runs = union(own.values) if own.is_valid else []
+                whole_text = data.as_py()
                 spans.append([{"start": s, "stop": e} for s, e in runs])
-                kept.append(b"".join(data[s:e] for s, e in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(data)], strict=True)))
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+                pieces = (whole_text[s:e] for s, e in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(whole_text)], strict=True))
+                kept.append(b"".join(p.decode("utf-8", "ignore").encode() if whole_characters and runs else p for p in pieces))
             yield pa.record_batch([b.column("doc_id"), pa.array(spans, kind), pa.array(kept, pa.binary()), *(b.column(c) for c in kept_names)], ["doc_id", "spans", "kept", *kept_names])
 
     out = joined.mapInArrow(run, "doc_id long, spans array<struct<start: int, stop: int>>, kept binary" + "".join(f", `{c}` {fields[k]}" for c, k in kept_names.items()))
     return out.withColumnsRenamed({c: k for c, k in kept_names.items()})
 
 
-def as_text(column: str) -> Column:
-    """Bytes as text, without the parts of characters that were cut."""
-
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+def union(marks: pa.StructArray) -> list[tuple[int, int]]:
+    """Overlapping and touching marks (start, stop) as runs."""
+    start, stop = (marks.field(k).to_numpy() for k in (0, 1))
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    new = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+    return list(zip(start[new].tolist(), reach[np.r_[new[1:] - 1, len(start) - 1]].tolist(), strict=True))
 
-    return decode(F.col(column))

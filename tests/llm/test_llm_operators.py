@@ -266,8 +266,12 @@ def test_run_length_index_statistics():
         assert index.repeated(size).tolist() == [len(s) >= size and times[s[:size]] > 1 for s in strings]
 
 
-def test_cut_characters():
-    assert suffix.as_text("x") is not None
+def test_cut_characters(spark):
+    passage = "\xe9" * 150
+    df = spark.createDataFrame([(1, "a" + passage + "b"), (2, "\u0229" + passage[1:] + "c")], "doc_id long, text string")
+    kept = {r["doc_id"]: bytes(r["kept"]) for r in suffix.remove_repeated(df).collect()}
+    whole = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffix.remove_repeated(df, whole_characters=True).collect()}
+    assert kept == {1: b"ab", 2: b"\xc8c"} and whole == {1: "ab", 2: "c"}
 
 
 # 7
