@@ -69,7 +69,7 @@ def embedding_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their vectors, checked for one-to-one and dimension."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), "embedding")
     docs = table(spark, sf_dir, "documents").join(vectors.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.lit(0).alias("chunk_index"), "text")
-    done = assemble(docs, vectors, "given", 64)
+    done = assemble(docs, vectors.join(docs.select("doc_id"), "doc_id", "left_semi"), "given", 64)
     return done.select("doc_id", "embedding_model_version", F.size("embedding").cast("long").alias("dim"), F.md5("text").alias("text_md5"))
 
 
