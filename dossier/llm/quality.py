@@ -47,10 +47,11 @@ def _sizes(data: bytes, compressors: tuple) -> tuple[int, int]:
 
 
 def features(n_bytes: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """1, the normalised difference, the ratio to the text's size, and the difference weighed by evidence."""
+    """1, the normalised difference and its weight by evidence, and how far texts compress at all, which repeated words push down."""
     total = np.maximum(good + bad, 1)
     diff = (bad - good) / total
-    return np.stack([np.ones(len(total)), 10 * diff, (good + bad) / np.maximum(2 * n_bytes, 40), diff * np.log1p(n_bytes)], 1)
+    size, ratio = np.log1p(n_bytes) / 5, np.log(np.maximum(total, 8) / np.maximum(2 * n_bytes, 8))
+    return np.stack([np.ones(len(total)), 10 * diff, diff * size * 5, ratio, ratio**2, size, size**2, ratio * size], 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -79,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bad, good = ([t.encode() for t in own] for own in sample)
     if len(bad) < 2 or len(good) < 2:
         share = (len(good) + 0.5) / (len(good) + len(bad) + 1)
-        return Model(b"", b"", (float(np.log(share / (1 - share))), 0.0, 0.0, 0.0))
+        return Model(b"", b"", (float(np.log(share / (1 - share))), *[0.0] * 7))
     seen, label = [], []
     for fold in (0, 1):  # sizes for the calibration come from dictionaries that have not seen the text
         compressors = tuple(_compressor(_train(own[1 - fold :: 2])) for own in (good, bad))
