@@ -295,21 +295,28 @@ def similar_links(nodes: DataFrame, n: int, similarity: float, budget: int = 3)
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id of every row: groups over links between texts whose sets of five-word shingles are similar."""
+    return _groups(docs, width, similarity, id_col, text_col).select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def _groups(docs: DataFrame, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and text_key (which tell a row), and the first row of its group: the smallest id, null ids last, then the smallest text_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            yield pa.record_batch([b.column(0), pa.array([long_fingerprint(t or b"", width) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([long_fingerprint(t or b"", width) for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "text_key", "fp"])
 
-    rows = reliable(pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp binary").withColumn("node", F.xxhash64("fp")))
-    nodes = reliable(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
+    texts = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary"))
+    rows = reliable(texts.mapInArrow(run, "doc_id long, text_key long, fp binary").withColumn("node", F.xxhash64("fp")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key"))
+    nodes = reliable(rows.groupBy("node").agg(F.first("fp").alias("fp"), first.alias("first")))
     found = components(similar_links(nodes.select("fp", F.col("node").alias("id")), nodes.count(), similarity))
-    grouped = nodes.select("node", "least").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(grouped.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    grouped = nodes.select("node", "first").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = grouped.groupBy("component").agg(F.min("first").alias("first"))
+    return rows.join(grouped.drop("first").join(least, "component").select("node", "first"), "node").select("doc_id", "text_key", "first")
 
 
 def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their group of near copies; one of them where such rows repeat."""
-    groups = near_copies(docs, width, similarity, id_col, text_col)
-    chosen = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("of_doc")).distinct()
-    return docs.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("of_doc"))).drop("of_doc").dropDuplicates([id_col])
+    """The first row of docs of each group of near copies, as by id and text; one of them where the same row repeats."""
+    chosen = _groups(docs, width, similarity, id_col, text_col).select(F.col("first.doc_id").alias("of_doc"), F.col("first.text_key").alias("of_text")).distinct()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("of_doc")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("of_text"))
+    return docs.join(chosen, same).dropDuplicates([id_col, "of_text"]).drop("of_doc", "of_text")

@@ -142,6 +142,15 @@ def test_near_copies(spark, docs, none):
     assert simhash.near_copies(none).count() == 0
 
 
+def test_representatives_by_row(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (None, c), (7, d), (7, e), (8, e), (9, a), (None, f), (3, f), (7, d)]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter(tuple(r) for r in kept.collect()) == Counter([(9, a), (None, b), (None, c), (7, d), (7, e), (3, f)])
+
+
 def test_trie_finds_every_close_pair():
     rng = np.random.default_rng(0)
     centre = rng.integers(0, 2**63, 12, np.uint64)
