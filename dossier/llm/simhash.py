@@ -10,8 +10,10 @@ its links, not the links, so that a dense ball of near copies gives as many rows
 Components grow over these links by large-star and small-star steps in Spark.
 
 near_copies() is the form for pipelines: five-word shingles and a similarity of 0.8 or more, which 3 bits of 64
-would miss for the most part. Its fingerprints have 256 bits; bands of them go through the same trie join, and
-the whole fingerprint then tells the similarity.
+would miss for the most part. Its fingerprints are longer and of distinct shingles; bands of them go through the
+same trie join, which only proposes pairs. A pair is a link when the exact Jaccard similarity of its shingle sets
+says so. In a dense group each text proposes its closest ones first, and further ones only as long as they aren't in
+its component yet, so that a group of near copies costs about as many comparisons as it has members.
 
 Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows share their component.
 Null ids take part, but name a component only if all its ids are null.
@@ -35,6 +37,8 @@ _word = re.compile(WORD.encode().replace(b"\\x20", b" "))
 #: Long fingerprints, by which similarity is estimated: words of 64 bits, and the odd numbers that mix them.
 WORDS = 4
 _ODD = np.random.default_rng(2).integers(1, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Pairs that a text proposes at first in each place where it is dealt, and by how much more in every further round.
+CLOSEST, MORE = 2, 16
 #: Node pairs of so many leaf pairs at most are compared outright; so many comparisons at once.
 LEAF, AT_ONCE = 256, 2_000_000
 
@@ -64,9 +68,13 @@ def fingerprint(data: bytes, width: int) -> int:
     return int(majority(shingle_hashes(data, width))[0])
 
 
-def long_fingerprint(data: bytes, width: int) -> bytes:
-    """WORDS words of bits, each from the shingles' hashes mixed anew."""
-    h = shingle_hashes(data, width)
+def shingle_set(data: bytes, width: int) -> np.ndarray:
+    """XXH64 of the distinct shingles of a text, sorted."""
+    return np.unique(shingle_hashes(data, width))
+
+
+def long_fingerprint(h: np.ndarray) -> bytes:
+    """WORDS words of bits, each from the hashes of distinct shingles mixed anew."""
     out = []
     for odd in _ODD:
         x = h * odd
@@ -133,15 +141,10 @@ def _compare(keys: np.ndarray, front: list[np.ndarray], budget: int) -> Iterator
         start = stop
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], verify: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
-    """The smallest index that each of n nodes is linked to, over any number of links; verify(i, j) tells which pairs are links."""
+def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest index that each of n nodes is linked to, over any number of links."""
     label = np.arange(n)
     for i, j in pairs:
-        if verify is not None:
-            apart = label[i] != label[j]
-            i, j = i[apart], j[apart]
-            linked = verify(i, j)
-            i, j = i[linked], j[linked]
         while True:
             a, b = label[i], label[j]
             open_ = a != b
@@ -230,23 +233,79 @@ def bands_for(n: int) -> tuple[int, int]:
     return (6, 24) if n < 1 << 20 else (12, 32) if n < 1 << 26 else (24, 40)
 
 
-def most_differing(similarity: float) -> int:
-    """Bits of a long fingerprint in which shingle sets of this Jaccard similarity differ, with a margin for the estimate's error."""
+def most_differing(similarity: float, bits: int) -> int:
+    """Bits of so many in which shingle sets of this Jaccard similarity differ at most, four deviations above what is expected."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = BITS * WORDS
-    return int(p * bits + 0.75 * np.sqrt(p * (1 - p) * bits))
-
-
-def similar_links(nodes: DataFrame, n: int, similarity: float, budget: int = 3) -> DataFrame:
-    """a, b: links (a spanning forest for each task) between the ids of nodes (fp, id) whose long fingerprints say that they are similar.
+    return int(np.ceil(p * bits + 4 * np.sqrt(p * (1 - p) * bits)))
+
+
+def closest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], apart: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int, far: int, component: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, distance: for each of n nodes its `most` closest ones of other components within `far`; and the nodes that have more of them."""
+    empty = np.zeros(0, np.int64)
+    i, j, d = empty, empty, empty
+    more = np.zeros(n, bool)
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        nonlocal i, j, d
+        i, j, d = (np.concatenate(x) for x in zip((i, j, d), *waiting, strict=True))
+        waiting.clear()
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else empty
+        rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+        more[i[rank >= most]] = True
+        i, j, d = (x[rank < most] for x in (i, j, d))
+
+    for a, b in pairs:
+        other = component[a] != component[b]
+        a, b = a[other], b[other]
+        x = apart(a, b)
+        a, b, x = a[x <= far], b[x <= far], x[x <= far].astype(np.int64)
+        waiting += [(a, b, x), (b, a, x)]
+        if sum(len(w[0]) for w in waiting) > AT_ONCE:
+            settle()
+    settle()
+    return i, j, d, np.flatnonzero(more)
+
+
+def proposed(dealt: DataFrame, n: int, most: int, similarity: float, budget: int = 3) -> DataFrame:
+    """a, b, d: pairs of ids of dealt() that may be similar, the `most` closest of each id in each of its places; and, with null b, the rows whose ids have more."""
+    _, width = bands_for(n)
+    top = width // (budget + 1)
+    spark = dealt.sparkSession
 
-    Bands of the fingerprints go through the same trie join as links(); a pair that agrees in a band, but for the
-    error budget, is held against the whole fingerprint in the task before it counts.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        which, keys, ids, component = (t.column(c).to_numpy() for c in ("k", "key", "id", "component"))
+        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").reshape(len(ids), -1)
+        far = most_differing(similarity, fp.shape[1] * BITS)
+        for k in np.unique(which):
+            mine = np.flatnonzero(which == k)
+            mine = mine[np.argsort(keys[mine], kind="stable")]
+            own, key = fp[mine], keys[mine]
+            pairs = trie_pairs(key.view(np.uint64) << np.uint64(BITS - width), top, budget, width)
+            i, j, d, more = closest(len(mine), pairs, lambda a, b, own=own: np.bitwise_count(own[a] ^ own[b]).sum(1), most, far, component[mine])
+            a, b = ids[mine][i], ids[mine][j]
+            if len(a):
+                none = pa.nulls(len(a))
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary())], ["a", "b", "d", "k", "key", "fp"])
+            if len(more):
+                none = pa.nulls(len(more), pa.int64())
+                yield pa.record_batch([pa.array(ids[mine][more]), none, none, pa.array(which[mine][more]), pa.array(key[more]), t.column("fp").combine_chunks().take(pa.array(mine[more]))], ["a", "b", "d", "k", "key", "fp"])
+
+    front = F.shiftright("key", width - top)
+    return dealt.repartition(max(8, partitions(spark)), F.col("k"), front).select("k", "key", "id", "component", "fp").mapInArrow(run, "a long, b long, d long, k int, key long, fp binary")
+
+
+def dealt(nodes: DataFrame, n: int, budget: int = 3) -> DataFrame:
+    """nodes (fp, id, component) under every band of their fingerprints and every block of the band's bits."""
     bands, width = bands_for(n)
-    blocks, most = budget + 1, most_differing(similarity)
+    blocks = budget + 1
     top = width // blocks
-    spark = nodes.sparkSession
 
     def bits_at(fp: np.ndarray, band: int) -> np.ndarray:
         """The band's bits; bands beyond the fingerprint's length begin again, moved by half a band."""
@@ -268,29 +327,45 @@ def similar_links(nodes: DataFrame, n: int, similarity: float, budget: int = 3)
                 for k in range(blocks):
                     by = k * top
                     key = ((x << np.uint64(by)) | (x >> np.uint64(width - by))) & np.uint64((1 << width) - 1)
-                    yield pa.record_batch([pa.array(np.full(len(x), band * blocks + k, np.int32)), pa.array((key >> np.uint64(width - top)).astype(np.int32)), pa.array(key.view(np.int64)), b.column("id"), b.column("fp")], ["k", "front", "key", "id", "fp"])
+                    yield pa.record_batch([pa.array(np.full(len(x), band * blocks + k, np.int32)), pa.array(key.view(np.int64)), b.column("id"), b.column("component"), b.column("fp")], ["k", "key", "id", "component", "fp"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        which, keys, ids = (t.column(c).to_numpy() for c in ("k", "key", "id"))
-        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").reshape(-1, WORDS)
-        for k in np.unique(which):
-            mine = np.flatnonzero(which == k)
-            mine = mine[np.argsort(keys[mine], kind="stable")]
-            own = fp[mine]
+    return nodes.select("fp", "id", "component").mapInArrow(deal, "k int, key long, id long, component long, fp binary")
 
-            def similar(i: np.ndarray, j: np.ndarray, own: np.ndarray = own) -> np.ndarray:
-                return np.bitwise_count(own[i] ^ own[j]).sum(1) <= most
 
-            label = forest(len(mine), trie_pairs(keys[mine].view(np.uint64) << np.uint64(BITS - width), top, budget, width), similar)
-            linked = np.flatnonzero(label != np.arange(len(mine)))
-            yield pa.record_batch([pa.array(ids[mine][linked]), pa.array(ids[mine][label[linked]])], ["a", "b"])
+def similar_components(nodes: DataFrame, n: int, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """id, component of the linked ids of nodes (fp, id): all proposed pairs whose shingle sets are similar are links.
 
-    dealt = nodes.mapInArrow(deal, "k int, front int, key long, id long, fp binary")
-    return dealt.repartition(max(8, partitions(spark)), "k", "front").mapInArrow(run, "a long, b long")
+    sets(ids) gives id and shingles (their set) of the wanted ids. Pairs within one component need no comparison.
+    """
+    spark = nodes.sparkSession
+    links = tried = spark.createDataFrame([], "a long, b long")
+    found = spark.createDataFrame([], "id long, component long")
+    rows, most = dealt(nodes.withColumn("component", F.col("id")), n), CLOSEST
+
+    def component(df: DataFrame, of: str, name: str) -> DataFrame:
+        return df.join(found.toDF(of, name), of, "left").withColumn(name, F.coalesce(name, of))
+
+    while True:
+        told = reliable(proposed(rows, n, most, similarity))
+        pairs = reliable(told.filter("b is not null").groupBy("a", "b").agg(F.min("d").alias("d")).join(tried, ["a", "b"], "left_anti"))
+        shingles = reliable(sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+        # Each id's closest one first: most others are then in its component.
+        both = pairs.select("a", "b", "d", F.explode(F.array("a", "b")).alias("x"))
+        nearest = both.groupBy("x").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        for turn in (nearest, pairs.select("a", "b")):
+            open_ = component(component(turn.join(tried, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
+            held = open_.join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
+            shared = F.size(F.array_intersect("sa", "sb"))
+            held = reliable(held.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared) >= similarity).alias("linked")))
+            new = held.filter("linked").select("a", "b")
+            tried = tried.union(held.select("a", "b"))
+            if not new.isEmpty():
+                links = links.union(new)
+                found = components(links)
+        rows = component(told.filter("b is null").select("k", "key", F.col("a").alias("id"), "fp"), "id", "component")
+        if rows.isEmpty():
+            return found
+        most *= MORE
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,13 +378,25 @@ def _groups(docs: DataFrame, width: int, similarity: float, id_col: str, text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([long_fingerprint(t or b"", width) for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "text_key", "fp"])
+            held = [shingle_set(t or b"", width) for t in b.column(2).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in held], np.uint64).view(np.int64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([long_fingerprint(h) for h in held], pa.binary()), pa.array(node)], ["doc_id", "text_key", "fp", "node"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            held = [shingle_set(t or b"", width).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(held, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    def sets(ids: DataFrame) -> DataFrame:
+        wanted = nodes.join(ids.withColumnRenamed("id", "node"), "node").select(F.col("node").alias("id"), F.col("first.doc_id").alias("of_doc"), F.col("first.text_key").alias("of_text"))
+        held = texts.join(wanted, (F.col("text_key") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("id", "text")
+        return held.mapInArrow(shingles, "id long, shingles array<long>").dropDuplicates(["id"])
 
     texts = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary"))
-    rows = reliable(texts.mapInArrow(run, "doc_id long, text_key long, fp binary").withColumn("node", F.xxhash64("fp")))
+    rows = reliable(texts.mapInArrow(run, "doc_id long, text_key long, fp binary, node long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key"))
     nodes = reliable(rows.groupBy("node").agg(F.first("fp").alias("fp"), first.alias("first")))
-    found = components(similar_links(nodes.select("fp", F.col("node").alias("id")), nodes.count(), similarity))
+    found = similar_components(nodes.select("fp", F.col("node").alias("id")), nodes.count(), sets, similarity)
     grouped = nodes.select("node", "first").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("first").alias("first"))
     return rows.join(grouped.drop("first").join(least, "component").select("node", "first"), "node").select("doc_id", "text_key", "first")

@@ -142,6 +142,48 @@ def test_near_copies(spark, docs, none):
     assert simhash.near_copies(none).count() == 0
 
 
+def shingle_sets(texts):
+    out = {}
+    for i, t in texts:
+        w = words(t.lower())
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    return out
+
+
+def test_near_copies_by_exact_similarity(spark):
+    """Pairs at 0.78 to 0.82 against brute force, and texts that share only a line which each repeats."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    data = []
+    for g in range(160):
+        base = [word() for _ in range(300)]
+        changed = 28 + g % 10
+        data += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:-changed] + [word() for _ in range(changed)]))]
+    data += [(1000 + k, "one and the same line " * 200 + " ".join(word() for _ in range(100))) for k in range(2)]
+    sets = shingle_sets(data)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    similar = {a: len(sets[a] & sets[a + 1]) / len(sets[a] | sets[a + 1]) for a in range(0, 320, 2)}
+    assert 0.77 < min(similar.values()) < 0.79 and 0.81 < max(similar.values()) < 0.83
+    joined = {a: found[a] == found[a + 1] for a in similar}
+    assert not [a for a in similar if joined[a] and similar[a] < 0.8]
+    assert np.mean([joined[a] for a in similar if similar[a] >= 0.8]) > 0.94
+    assert found[1000] != found[1001]
+
+
+def test_near_copies_of_a_dense_group(spark, monkeypatch):
+    """More close pairs than a text proposes at first: all components are those of brute force."""
+    monkeypatch.setattr(simhash, "CLOSEST", 1)
+    monkeypatch.setattr(simhash, "MORE", 2)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    base = [word() for _ in range(300)]
+    data = [(i, " ".join(base[: 300 - 18 * (i % 4)] + [word() for _ in range(18 * (i % 4))])) for i in range(40)]
+    sets = shingle_sets(data)
+    label = naive_components(range(40), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [[found[a] == found[b] for a in range(40)] for b in range(40)] == [[label[a] == label[b] for a in range(40)] for b in range(40)]
+
+
 def test_representatives_by_row(spark):
     rng = random.Random(3)
     text = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(60))
