@@ -1,10 +1,10 @@
 """Operator 5: main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element. Lines within menus, headers, footers, sidebars,
-notices, adverts, forms and comments, and lines outside the article element where a page has one, keep
-their place but lose their text. Text lengths (links count nothing unless the page marks its article) are summed over sliding
-windows of lines; a surge, where a window's sum passes the threshold, opens the text and a dive to nothing
-closes it. The lines between are kept, each with decoded references and single spaces.
+notices, adverts, forms and comments lose their text. Text lengths (links count nothing, lines of an article
+element something more) are summed over sliding windows of the lines that have text; a surge, where a window's
+sum passes the threshold, opens the text and a dive to nothing closes it. The lines between are kept, each with
+decoded references and single spaces.
 
 One pass without a shuffle, a page at a time. Null and empty pages have empty text; pages whose windows
 never surge keep the lines that have text. Unclosed and stray tags, repeated rows and further columns don't
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from dossier.llm.common import pick, small
 
 WINDOW, SURGE = 3, 60
+#: What a line with text outside links weighs more within the article: a window of such lines is a surge.
+EVIDENCE = SURGE // WINDOW
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*(?:>|\Z)",
@@ -55,14 +57,13 @@ def _aside(name: str, attributes: str, in_main: bool) -> bool:
     return bool(words & (ASIDE_WORDS - {"header"} if in_main else ASIDE_WORDS))
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, characters outside links, whether inside the article) for each line, and whether there is an article."""
+def lines_of(html: str) -> list[tuple[str, int, bool]]:
+    """(text, characters outside links, whether inside an article) for each line."""
     lines: list[tuple[str, int, bool]] = []
     buffer: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, aside, main
     asides = mains = links = 0
-    any_main = False
 
     def end_line() -> None:
         text = " ".join(unescape("".join(buffer)).split())
@@ -116,30 +117,26 @@ def lines_of(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
             stack.append((name, aside, main))
             asides += aside
             mains += main
-            any_main |= main and not asides
     take(html[at:])
     end_line()
-    return lines, any_main
+    return lines
 
 
 def main_text(html: str) -> str:
-    lines, any_main = lines_of(html)
-    if any_main:
-        lines = [(text if main else "", n if main else 0, main) for text, n, main in lines]
-    weight = [len(text) if any_main else n for text, n, _ in lines]
-    surge = 1 if any_main else SURGE
+    lines = [(text, n, main) for text, n, main in lines_of(html) if text]
+    weight = [n and n + EVIDENCE * main for _, n, main in lines]
     kept: list[str] = []
     k = 0
     while k < len(lines):
-        if weight[k] and sum(weight[k : k + WINDOW]) >= surge:
+        if weight[k] and sum(weight[k : k + WINDOW]) >= SURGE:
             stop = k
             while stop < len(lines) and any(weight[stop : stop + WINDOW]):  # until the dive
                 stop += 1
-            kept += [text for text, n, _ in lines[k:stop] if text]
+            kept += [text for text, _, _ in lines[k:stop]]
             k = stop
         else:
             k += 1
-    return "\n".join(kept or [text for text, n, _ in lines if text and (n or any_main)])
+    return "\n".join(kept or [text for text, n, _ in lines if n])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -294,6 +294,18 @@ def test_main_text(spark):
     assert got == Counter((i, t, len(t)) for i, t in texts)
 
 
+def test_main_text_beside_teasers():
+    """Teaser cards are the only articles, and blocks without text lie between short paragraphs."""
+    body = [f"Sentence {k} of the body stands in a plain division and is long enough." for k in range(5)]
+    cards = "".join(f"<article><h3><a href=/{k}>Teaser {k}</a></h3></article>" for k in range(3))
+    page = f"<body><div>{''.join(f'<p>{x}</p>' for x in body)}</div><div><div><a href=x>More</a></div>{cards}</div></body>"
+    assert html.main_text(page) == "\n".join(body)
+    short = ["Thirty characters of plain text", "and thirty more come after them"]
+    far = "<div><a href=x>Link</a></div>" * 4
+    page = f"<div>{body[0]}</div>{far}<div><div><p>{short[0]}</p></div></div><div><div><p>{short[1]}</p></div></div>{far}"
+    assert html.main_text(page) == "\n".join([body[0], *short])
+
+
 # 6
 
 
