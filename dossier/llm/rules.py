@@ -1,14 +1,18 @@
 """Operator 9: quality rules with adaptive thresholds.
 
-Word, symbol, line and repetition counts are taken from every whole text. In place of fixed cutoffs, each
-(lang, source) has its own upper and lower fences: quantiles from Spark's mergeable quantile summaries
-(percentile_approx merges partial summaries before the shuffle, so a hot source is no hot task), widened by
-a multiple of the spread between the quartiles. A document passes if it meets the base rules and each of
-its ratios lies within its group's fences, which are joined back on the group.
+Word, symbol, line and repetition counts are taken from every whole text. In place of fixed cutoffs, the limits of
+each (lang, source) come from mergeable quantile summaries of its own documents that meet the base rules
+(percentile_approx merges partial summaries before the shuffle, so a hot source is no hot task): a ratio may lie as
+far beyond its outer quantile as REACH times the way from the median to there. The outer quantiles (RATIOS) are the
+only settings; no limit is a constant. Shares are estimated with one more of either kind, (n + 1) / (of + 1), so that
+where nearly all documents have none the limit follows from how long a group's documents are, and isn't zero.
+A group of fewer than GROUP_ROWS such documents takes the limits of its language, and that of all documents if the
+language has too few as well. A document is kept if it meets the base rules and each ratio lies within the limits,
+which are joined back on the group.
 
 Null and empty texts have no words and fail the base rules. Null languages and sources form groups of their
-own. Groups without a document that meets the base rules have no fences, and need none. Ties and repeated
-rows count as often as they stand.
+own. Groups without a document that meets the base rules need no limits. Ties and repeated rows count as often
+as they stand; a ratio equal to its limit is within.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ from dossier.llm.common import BLANKS, WORD, pick, reliable, small
 
 #: Fixed values of the contract.
 SYMBOLS, SPAN, MIN_WORDS, MAX_REPEAT_PERCENT = "#*$%&|<>", 8, 20, 30
-#: ratio: the least spread that counts, so that groups in which nearly all documents agree don't reject slight differences.
-RATIOS = {"symbols_per_word": 0.03, "dup_line_share": 0.05, "repeat_share": 0.05, "chars_per_word": 0.35}
-#: Fences lie this many spreads outside the quartiles; accuracy of the quantile summaries (relative rank error 1 / ACCURACY).
-REACH, ACCURACY = 4.0, 10_000
+#: Ratio: its inner and outer quantiles. Repetition has outer ones farther out, as the base rules have judged it already.
+RATIOS = {"symbols_per_word": (0.5, 0.9), "dup_line_share": (0.5, 0.98), "repeat_share": (0.5, 0.98), "chars_per_word": (0.5, 0.9), "chars_per_word_least": (0.5, 0.1)}
+#: How far beyond; rows from which a group's own limits count; accuracy of the summaries (relative rank error 1 / ACCURACY).
+REACH, GROUP_ROWS, ACCURACY = 4.0, 200, 10_000
 _word = re.compile(WORD)
 _MIX = np.random.default_rng(9).integers(1, 2**63, SPAN, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -77,25 +81,38 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return pick(docs, doc_id=id_col, lang=lang_col, source=source_col, text=text_col).mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n in NAMES))
 
 
-def apply(measured: DataFrame) -> DataFrame:
-    """Adds base_failed, the ratios, their fences and kept to the rows of counts()."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
+def limits(passing: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """of_lang, of_source and a limit for each of RATIOS, from rows with the ratios (of documents that meet the base rules)."""
+    quantiles = [F.percentile_approx(r.removesuffix("_least"), list(levels), ACCURACY).alias(r) for r, levels in RATIOS.items()]
+    sets = passing.groupingSets([["lang", "source"], ["lang"], []], "lang", "source")
+    found = sets.agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *quantiles)
+    found = reliable(found.select("level", "lang", "source", "n", F.struct(*[(F.col(r)[1] + REACH * (F.col(r)[1] - F.col(r)[0])).alias(r) for r in RATIOS]).alias("own")))
+    by_lang = found.filter("level = 1").select(F.col("lang").alias("l"), F.col("n").alias("lang_n"), F.col("own").alias("of_lang_limits"))
+    groups = found.filter("level = 0").join(by_lang, F.col("lang").eqNullSafe(F.col("l")))
+    every = found.filter("level = 3").first()  # one row, or none without passing documents
+    of_all = F.struct(*[F.lit(every["own"][r] if every else None).cast("double").alias(r) for r in RATIOS])
+    chosen = F.when(F.col("n") >= group_rows, F.col("own")).when(F.col("lang_n") >= group_rows, F.col("of_lang_limits")).otherwise(of_all)
+    return groups.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), chosen.alias("limits"))
+
+
+def apply(measured: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Adds base_failed, the ratios, their limits and kept to the rows of counts()."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    share = lambda n, of: (F.col(n) + 1) / (F.col(of) + 1)
     rows = reliable(
         measured.withColumns(
             {
                 "base_failed": base,
-                "symbols_per_word": F.col("n_symbols") / words,
-                "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-                "repeat_share": F.col("n_repeat_words") / words,
-                "chars_per_word": F.col("word_chars") / words,
+                "symbols_per_word": share("n_symbols", "n_words"),
+                "dup_line_share": share("n_dup_lines", "n_lines"),
+                "repeat_share": share("n_repeat_words", "n_words"),
+                "chars_per_word": share("word_chars", "n_words"),
             }
         )
     )
-    groups = rows.filter(~F.col("base_failed")).groupBy("lang", "source").agg(*[F.percentile_approx(r, [0.25, 0.75], ACCURACY).alias(r) for r in RATIOS])
-    fences = groups.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *[(F.greatest(F.col(r)[1] - F.col(r)[0], F.lit(least)) * REACH + F.col(r)[1]).alias(f"{r}_max") for r, least in RATIOS.items()], (F.col("chars_per_word")[0] - F.greatest(F.col("chars_per_word")[1] - F.col("chars_per_word")[0], F.lit(RATIOS["chars_per_word"])) * REACH).alias("chars_per_word_min"))
-    joined = rows.join(fences, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
-    within = F.col("chars_per_word") >= F.col("chars_per_word_min")
+    found = limits(rows.filter(~F.col("base_failed")), group_rows)
+    joined = rows.join(found, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
+    within = F.lit(True)
     for r in RATIOS:
-        within &= F.col(r) <= F.col(f"{r}_max")
-    return joined.drop("of_lang", "of_source").withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))
+        within &= F.col("chars_per_word") >= F.col("limits")[r] if r.endswith("_least") else F.col(r) <= F.col("limits")[r]
+    return joined.drop("of_lang", "of_source").withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
