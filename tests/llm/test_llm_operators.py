@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -564,3 +565,40 @@ def test_line_runs_are_levelled(spark, tmp_path):
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert {r["h1"]: r["n_docs"] for r in runs.counts().collect()} == {1: 1, 2: 2, 3: 2, 4: 2, 5: 1, 9: 1}
     assert [r["h1"] for r in runs.unseen(batch(5, 6)).collect()] == [6]
+
+
+@pytest.mark.parametrize("fanout", [2, 3])
+def test_line_runs_count_as_one_table(spark, fanout):
+    rng = random.Random(0)
+    runs = linededup.LineRuns(spark, f"{spark.sparkContext.getCheckpointDir()}/runs-{random.random()}", fanout)
+    wanted = Counter()
+    for n in (3, 0, 3, 20, 20, 1, 20):
+        own = [rng.randrange(30) for _ in range(n)]
+        wanted.update(own)
+        runs.add(spark.createDataFrame([(x, x) for x in own], "h1 long, h2 long"))
+        assert Counter({(r["h1"], r["n_docs"]): 1 for r in runs.counts().collect()}) == Counter({(h, n): 1 for h, n in wanted.items()})
+        often = runs.unseen(spark.createDataFrame([(x, x) for x in range(30)], "h1 long, h2 long"), 3)
+        assert {r["h1"] for r in often.collect()} == {h for h in range(30) if wanted[h] < 3}
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    """12 documents of 20,000 common lines, one of 60,000 equal ones, and rows with null ids; in seconds."""
+    common = [f"line {k}" for k in range(20_000)]
+    rows = [(i if i else None, "\n".join([*common, f"own {i}"])) for i in range(12)] + [(20, "line 1\n" * 60_000), (21, "own 1\n" * 60_000), (None, "own 2"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.monotonic()
+    got = Counter(tuple(r) for r in linededup.dedup_lines(df).collect())
+    assert time.monotonic() - began < 60
+    assert got == naive_lines(rows, 10)
+
+
+def test_line_dedup_plan(spark, docs):
+    """Texts are shuffled once, to meet their marks; runs meet without a shuffle."""
+    plan = linededup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("Exchange hashpartitioning") <= 3 and not re.search(r"Python|Arrow", plan)
+    runs = linededup.LineRuns(spark, f"{spark.sparkContext.getCheckpointDir()}/plan-{random.random()}")
+    for own in ((1, 2), (2, 3)):
+        runs.add(spark.createDataFrame([(x, x) for x in own], "h1 long, h2 long"))
+    batch = spark.createDataFrame([(2, 2), (7, 7)], "h1 long, h2 long").groupBy("h1", "h2").count().hint("merge")
+    plan = runs.unseen(batch)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
