@@ -16,7 +16,8 @@ at a head the match with its predecessor is measured, and from there on it loses
 its partner moves along. Where it is `size` or longer, both places are repeated.
 
 The exact way for the rest: anchors with over GROUP unequal stretches are dealt by the hashes of all their
-windows and counted in Spark, so that no task has to hold them.
+windows and counted in Spark, so that no task has to hold them. Very frequent anchors, which a mergeable sketch
+finds, go there at once, by their stretches, and are gathered nowhere.
 
 Null texts are empty. Texts below `size` bytes are kept whole. Rows that repeat a doc_id are documents of
 their own, and equal ones are repeated throughout. Empty tables give no rows.
@@ -32,9 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import partitions, pick, small, stored
+from dossier.llm.common import flat_bytes, partitions, pick, small, stored, whole_groups
 
 K, GROUP, BLOCK, SLICE, INDEX_BYTES = 32, 2000, 16, 1_000_000, 1_000_000
+PLACE_BITS = 26
+#: An anchor with more rows than HOT_ROWS is dealt by its stretches, if it is among the TOP most frequent of a sketch of TRACKED.
+HOT_ROWS, TOP, TRACKED = 20_000, 1000, 65_536
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
 _BYTE = np.random.default_rng(6).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _MOVE = np.uint64(32)
@@ -67,7 +71,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int
     """data: documents of size bytes or more, end to end. For each run of windows with one anchor: document, first window, windows, anchor's offset in the first, anchor's hash, hash of the stretch."""
     grams = _grams(data, (K, 128))
     h = grams[K]
-    bits = max(1, int(len(h)).bit_length())
+    bits = max(PLACE_BITS, int(len(h)).bit_length())  # the same for every text, but for one of over 64 MB
     low = np.uint64((1 << bits) - 1)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     at = (_least(key, size - K + 1) & low).astype(np.int64)
@@ -87,20 +91,13 @@ def anchors(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int
 
 
 #: done: 1 if the windows of the row are known to be repeated and need no further look; more: the row stands for several equal ones.
-ROWS = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("off", pa.int32()), ("more", pa.int32())])
-DDL = "key long, h long, whole long, doc_id long, t long, first int, n int, off int, more int"
-
-
-def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of a binary column end to end, and the start and length of each value."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) and column.buffers()[2] else np.zeros(0, np.uint8)
-    return data, offsets[:-1] - offsets[0], np.diff(offsets)
+ROWS = pa.schema([("h", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("t", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("off", pa.int32()), ("more", pa.int32())])
+DDL = "h long, whole long, doc_id long, t long, first int, n int, off int, more int"
+KINDS = "kind string, h long, doc_id long, t long, first int, n int, off int, more int"
 
 
 def find_anchors(docs: DataFrame, size: int) -> DataFrame:
-    """docs: doc_id, t, data. Rows as ROWS: settled ones (more = 2) under a key that spreads them, others under their anchor's hash."""
+    """docs: doc_id, t, data. Rows as ROWS; more is 2 for those that a row with more 1 of the same task stands for."""
 
     def slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         lo, total = 0, 0
@@ -114,7 +111,7 @@ def find_anchors(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, starts, lengths = _bytes(b.column("data"))
+            data, starts, lengths = flat_bytes(b.column("data"))
             ids, ts = b.column("doc_id"), b.column("t")
             found = []
             for lo, hi in slices(lengths):
@@ -131,59 +128,48 @@ def find_anchors(docs: DataFrame, size: int) -> DataFrame:
             lead = np.zeros(len(order), bool)
             lead[order] = np.r_[True, inverse[order][1:] != inverse[order][:-1]]
             more = np.where(copies == 1, 0, np.where(lead, 1, 2))
-            key = np.where(more == 2, whole ^ own, h)
             take = pa.array(own)
-            yield pa.record_batch([pa.array(key), pa.array(h), pa.array(whole), ids.take(take), ts.take(take), *(pa.array(x.astype(np.int32)) for x in (first, n, off, more))], schema=ROWS)
+            yield pa.record_batch([pa.array(h), pa.array(whole), ids.take(take), ts.take(take), *(pa.array(x.astype(np.int32)) for x in (first, n, off, more))], schema=ROWS)
 
     return docs.filter(F.octet_length("data") >= size).mapInArrow(run, DDL)
 
 
+def hot_anchors(rows: DataFrame, most: int) -> list[int]:
+    """Hashes of anchors with over `most` rows, from a mergeable sketch of frequent items: TOP at most."""
+    found = rows.agg(F.expr(f"approx_top_k(h, {TOP}, {TRACKED})").alias("top")).first()["top"]
+    return [r["item"] for r in found or [] if r["count"] > most]
+
+
 #: kind: M its windows are repeated; D compare by the index; H compare by counting windows.
-def settle(rows: DataFrame, group: int = GROUP) -> DataFrame:
-    """kind and the columns of ROWS: marks and what is left to compare. Stretches around an anchor that stands once are gone."""
+def settle(rows: DataFrame, group: int = GROUP, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Marks and what is left to compare, as KINDS. Stretches around an anchor that stands once are gone.
+
+    rows (a stored table) that are settled already don't move. A very frequent anchor's rows are dealt by their whole
+    stretches, and compared by counting windows: no task gathers them.
+    """
+    names = [x.split()[0] for x in KINDS.split(", ")[1:]]
+    settled = rows.filter("more = 2").select(F.lit("M").alias("kind"), *names)
+    hot = hot_anchors(rows.filter("more < 2"), hot_rows)
+    is_hot = F.col("h").isin(hot) if hot else F.lit(False)
+    opened = rows.filter("more < 2").withColumn("hot", is_hot).withColumn("key", F.when(F.col("hot"), F.xxhash64("h", "whole")).otherwise(F.col("h")))
+    opened = opened.select("key", "whole", "hot", *names).repartition(max(8, partitions(rows.sparkSession)), "key").sortWithinPartitions("key", "h", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key", "h"], 200_000):
-            key, h, whole, more = (t.column(c).to_numpy() for c in ("key", "h", "whole", "more"))
-            settled = more == 2
-            new_h = np.r_[True, (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | settled[1:] | settled[:-1]]
+            key, h, whole, more, hot = (t.column(c).to_numpy() for c in ("key", "h", "whole", "more", "hot"))
+            new_h = np.r_[True, (h[1:] != h[:-1]) | (key[1:] != key[:-1])]
             new_w = new_h | np.r_[True, whole[1:] != whole[:-1]]
             of_h, of_w = np.cumsum(new_h) - 1, np.cumsum(new_w) - 1
             in_w = np.bincount(of_w)[of_w]
             kinds = np.bincount(of_h[new_w])[of_h]  # unequal stretches around the anchor
-            repeated = settled | (in_w > 1) | (more == 1)
-            compare = new_w & (kinds > 1) & ~settled
-            kind = np.where(kinds > group, "H", "D")
-            for rows_at, what in ((np.flatnonzero(repeated), "M"), (np.flatnonzero(compare & (kind == "D")), "D"), (np.flatnonzero(compare & (kind == "H")), "H")):
-                if len(rows_at):
-                    out = t.take(pa.array(rows_at)).combine_chunks()
+            by_count = hot.astype(bool) | (kinds > group)
+            for at, what in (((in_w > 1) | (more == 1), "M"), (new_w & (kinds > 1) & ~by_count, "D"), (new_w & by_count, "H")):
+                if at.any():
+                    out = t.select(names).take(pa.array(np.flatnonzero(at))).combine_chunks()
                     for b in out.to_batches():
-                        yield pa.record_batch([pa.array([what] * b.num_rows, pa.string()), *b.columns], ["kind", *b.schema.names])
-
-    return rows.mapInArrow(run, "kind string, " + DDL)
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int, size: str | None = None) -> Iterator[pa.Table]:
-    """Tables of about so many rows (or bytes of column size) of sorted batches, that don't part rows equal in by."""
-    held: list[pa.RecordBatch] = []
-    weight = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        weight += b.column(b.schema.get_field_index(size)).nbytes if size else b.num_rows
-        if weight >= rows:
-            t = pa.Table.from_batches(held).combine_chunks()
-            values = [t.column(c).to_numpy() for c in by]
-            differ = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values]))
-            if len(differ):
-                cut = int(differ[-1]) + 1
-                yield t.slice(0, cut)
-                t = t.slice(cut).combine_chunks()
-            held = t.to_batches()
-            weight = sum(x.column(x.schema.get_field_index(size)).nbytes if size else x.num_rows for x in held) if len(differ) else weight
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+                        yield pa.record_batch([pa.array([what] * b.num_rows, pa.string()), *b.columns], ["kind", *names])
+
+    return settled.unionAll(opened.mapInArrow(run, KINDS))
 
 
 def suffix_order(data: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -275,7 +261,7 @@ def compare(stretches: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["h"], INDEX_BYTES, "data"):
-            data, starts, lengths = _bytes(t.column("data").combine_chunks())
+            data, starts, lengths = flat_bytes(t.column("data").combine_chunks())
             twice = np.flatnonzero(RunLengthIndex(data, starts, lengths).repeated(size))
             if not len(twice):
                 continue
@@ -333,11 +319,11 @@ def count_windows(stretches: DataFrame, size: int) -> DataFrame:
     return whole.unionAll(apart)
 
 
-def repeated_spans(docs: DataFrame, size: int = 200, group: int = GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = 200, group: int = GROUP, hot_rows: int = HOT_ROWS) -> DataFrame:
     """docs: doc_id, t, data. Marks as MARKS, which may overlap."""
     spark = docs.sparkSession
     n = max(8, partitions(spark))
-    found = stored(settle(find_anchors(docs, size).repartition(n, "key").sortWithinPartitions("key", "h", "whole"), group))
+    found = stored(settle(stored(find_anchors(docs, size)), group, hot_rows))
     marks = found.filter("kind = 'M'").select("doc_id", "t", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + size).alias("stop"))
     wanted = found.filter("kind <> 'M'").groupBy("doc_id", "t").agg(F.collect_set(F.struct("kind", "h", "first", "n", "off", "more")).alias("wanted"))
     texts = docs.join(wanted, docs["t"].eqNullSafe(wanted["t"]) & docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(docs["doc_id"], docs["t"], "data", "wanted")
@@ -348,14 +334,14 @@ def repeated_spans(docs: DataFrame, size: int = 200, group: int = GROUP) -> Data
     return marks.unionAll(by_index).unionAll(count_windows(cut.filter("kind = 'H'"), size))
 
 
-def remove_repeated(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), group: int = GROUP, whole_characters: bool = False) -> DataFrame:
+def remove_repeated(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), group: int = GROUP, hot_rows: int = HOT_ROWS, whole_characters: bool = False) -> DataFrame:
     """doc_id, spans (removed runs as start and stop in bytes), kept (bytes) of every row, and the columns in keep as they are.
 
     whole_characters: what is left of a character that a span's border cuts goes from kept too, which then is UTF-8.
     """
     kept_names = {f"keep_{c}": c for c in keep}
     all_rows = pick(docs, doc_id=id_col, text=text_col, **kept_names).withColumn("data", F.coalesce(F.col("text"), F.lit("")).cast("binary")).withColumn("t", F.xxhash64("data")).drop("text")
-    marks = repeated_spans(all_rows.select("doc_id", "t", "data"), size, group)
+    marks = repeated_spans(all_rows.select("doc_id", "t", "data"), size, group, hot_rows)
     by_doc = marks.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "stop")).alias("marks")).withColumnsRenamed({"doc_id": "of_doc", "t": "of_t"})
     joined = all_rows.join(by_doc, F.col("t").eqNullSafe(F.col("of_t")) & F.col("doc_id").eqNullSafe(F.col("of_doc")), "left").drop("of_doc", "of_t", "t")
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
