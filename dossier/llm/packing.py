@@ -5,8 +5,8 @@ of which may be shorter. All that packing depends on is how many pieces there ar
 driver gets that histogram alone: at most `capacity` rows, whatever the corpus. On it, sets that dominate
 every other set for their largest piece are fixed, a whole class of equal bins at a time; the rest is
 packed by best fit, longest first. The plan, again of a size that only the capacity bounds, is joined back
-to the pieces by their rank within their length. Ranks come from counts per length and bucket, so that no
-task holds all pieces of one length.
+to the pieces by their rank within their length. Ranks come from counts per length and bucket, and a length has
+a bucket for every BUCKET_ROWS pieces, so that no task holds all pieces of one length, however many there are.
 
 Null texts are empty documents, of the closing id alone. Rows that repeat a doc_id are documents of their
 own (told apart by their token checksum where they differ; equal rows are interchangeable). An empty table
@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.bpe import grouped, tokenizer
-from dossier.llm.common import pick, reliable, small
+from dossier.llm.common import pick, small, stored
 
-BUCKETS = 64
+#: Pieces of one length that are ranked together; a length has as many buckets as it needs.
+BUCKET_ROWS = 200_000
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,18 +200,22 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
     """cut (of pieces()) with sequence_id and offset."""
     spark = cut.sparkSession
-    cut = reliable(cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS))))
-    by = cut.groupBy("length", "bucket").count()
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = by.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("base"))  # at most capacity x BUCKETS rows
-    histogram = {r["length"]: r["n"] for r in by.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
-    ranges = spark.createDataFrame(plan(histogram, capacity), "length long, low long, ranks long, per long, bin long, at long")
+    cut = stored(cut)
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     if not histogram:
-        return cut.drop("bucket").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    # The ranges of a length as one sorted array: a few rows each, at most 4 x capacity together.
-    ranges = ranges.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "ranks", "per", "bin", "at"))).alias("ranges"))
+        return cut.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    # For each length its buckets and the plan's ranges: capacity rows, and at most 4 x capacity ranges in all.
+    own: dict[int, list[tuple[int, ...]]] = {n: [] for n in histogram}
+    for length, *r in plan(histogram, capacity):
+        own[length].append(tuple(r))
+    rows = [(length, -(-histogram[length] // BUCKET_ROWS), sorted(r)) for length, r in own.items()]
+    ranges = spark.createDataFrame(rows, "length long, buckets long, ranges array<struct<low: long, ranks: long, per: long, bin: long, at: long>>")
+    cut = cut.join(F.broadcast(ranges), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")))
+    # Ranks within a bucket, and what the buckets before it hold; both are dealt by length and bucket.
+    before = F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = cut.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = cut.withColumn("rank", rank).join(F.broadcast(starts), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
-    placed = ranked.join(F.broadcast(ranges), "length").withColumn("r", F.expr("filter(ranges, r -> rank >= r.low and rank < r.low + r.ranks)[0]"))
+    ranked = cut.withColumn("rank", rank).join(starts, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
+    placed = ranked.withColumn("r", F.expr("filter(ranges, r -> rank >= r.low and rank < r.low + r.ranks)[0]"))
     k = F.col("rank") - F.col("r.low")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("r.bin") + F.floor(k / F.col("r.per"))).cast("long").alias("sequence_id"), (F.col("r.at") + (k % F.col("r.per")) * F.col("length")).cast("long").alias("offset"))
