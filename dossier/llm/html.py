@@ -1,14 +1,18 @@
 """Operator 5: main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. Lines within menus, headers, footers, sidebars,
-notices, adverts, forms and comments lose their text. Text lengths (links count nothing, lines of an article
-element something more) are summed over sliding windows of the lines that have text; a surge, where a window's
-sum passes the threshold, opens the text and a dive to nothing closes it. The lines between are kept, each with
-decoded references and single spaces.
-
-One pass without a shuffle, a page at a time. Null and empty pages have empty text; pages whose windows
-never surge keep the lines that have text. Unclosed and stray tags, repeated rows and further columns don't
-matter.
+Markup is stripped to lines, one for each block element, and each line has a weight: the length of its text outside
+links. Markup only adds evidence: a line of an article counts more, one of a menu, header, footer, form or comment
+section, or of an element marked as an advert or notice, counts against. Weights are summed over sliding windows of
+the lines that have text. A surge opens the text: a line with weight whose window holds a share of the page's heaviest
+window, or the least that a paragraph has. A dive closes it: a line whose window, ahead, holds less than an article's
+single line has. What lies between is the text, without the lines that count against, so that an advert between two
+paragraphs goes and a list of links between them stays. Each line has decoded references and single spaces.
+
+Marks that also stand for articles (search, share, related, ...) take from a line's weight what a short line has,
+so a paragraph under such a mark stays and a row of buttons goes.
+
+One pass without a shuffle, a page at a time. Null and empty pages have empty text; pages without a line of
+weight have none. Unclosed and stray tags, repeated rows and further columns don't matter.
 """
 
 from __future__ import annotations
@@ -22,21 +26,21 @@ from pyspark.sql import DataFrame
 
 from dossier.llm.common import pick, small
 
-WINDOW, SURGE = 3, 60
-#: What a line with text outside links weighs more within the article: a window of such lines is a surge.
-EVIDENCE = SURGE // WINDOW
+#: Lines of a window; a surge's least sum, and its share of the page's heaviest window where that has less.
+WINDOW, SURGE, SHARE = 3, 60, 0.5
+#: What a line with text outside links weighs more within an article, and less under a mark that may mean either.
+EVIDENCE, DOUBT = 20, 60
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics object a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 NEVER_OPEN = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements and words of class, id or role that stand for what is not the article.
+#: Elements, and words of class, id or role, that stand for what is not the article; words that may.
 ASIDE = set("nav aside footer header form button menu dialog".split())
-ASIDE_WORDS = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright disqus dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
-)
+ASIDE_WORDS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comments commentlist contentinfo cookie cookies disqus footer gdpr masthead nav navbar navigation newsletter notice notices sidebar sponsored subscribe subscription".split())
+DOUBT_WORDS = set("comment complementary consent copyright dropdown header login menu modal pager pagination popup promo promotion related replies respond search share sharing signup skip social sponsor toolbar widget widgets".split())
 MAIN = {"article", "main"}
 MARK = re.compile(r"(?:\bclass|\bid|\brole)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -44,42 +48,50 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|di
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 
 
-def _aside(name: str, attributes: str, in_main: bool) -> bool:
+def _against(name: str, attributes: str, in_main: bool) -> int:
+    """2 for an element that stands for what is not the article, 1 for one that may, 0 for others."""
     if name in ("html", "body") or name in MAIN:
-        return False
+        return 0
     if name in ASIDE:
-        return not (name == "header" and in_main)  # an article's own header holds its title
+        return 0 if name == "header" and in_main else 2  # an article's own header holds its title
     if not attributes:
-        return False
+        return 0
     if HIDDEN.search(attributes):
-        return True
+        return 2
     words = {w for m in MARK.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & (ASIDE_WORDS - {"header"} if in_main else ASIDE_WORDS))
+    return 2 if words & ASIDE_WORDS else 1 if words & DOUBT_WORDS and not (in_main and words & {"header"}) else 0
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, whether inside an article) for each line."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(html: str) -> list[tuple[str, int]]:
+    """(text, weight) for each line that has text."""
+    lines: list[tuple[str, int]] = []
     buffer: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, aside, main
-    asides = mains = links = 0
+    stack: list[tuple[str, int, bool]] = []  # name, what counts against it, main
+    marks = [0, 0, 0]  # open elements by what counts against them
+    mains = links = 0
 
     def end_line() -> None:
         text = " ".join(unescape("".join(buffer)).split())
-        lines.append((text, len(text) - len(" ".join(unescape("".join(linked)).split())), mains > 0))
+        if text:
+            n = len(text) - len(" ".join(unescape("".join(linked)).split()))
+            if marks[2]:
+                n = -len(text)
+            elif n:
+                n += EVIDENCE * (mains > 0) - DOUBT * (marks[1] > 0)
+            lines.append((text, n))
         buffer.clear()
         linked.clear()
 
     def close(k: int) -> None:
-        nonlocal asides, mains
-        for _, aside, main in stack[k:]:
-            asides -= aside
+        nonlocal mains
+        for _, against, main in stack[k:]:
+            marks[against] -= 1
             mains -= main
         del stack[k:]
 
     def take(text: str) -> None:
-        if text and not asides:
+        if text:
             buffer.append(text)
             if links:
                 linked.append(text)
@@ -100,6 +112,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                 links = max(0, links - 1)
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
+                    if inline:
+                        end_line()
                     close(k)
                     break
             continue
@@ -111,32 +125,41 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             shut = CLOSES.get(name, {"p"})
             while stack and stack[-1][0] in shut:
                 close(len(stack) - 1)
-        aside = _aside(name, m[4], mains > 0)
+        against = _against(name, m[4], mains > 0)
         main = name in MAIN or bool(m[4]) and "role" in m[4] and re.search(r"role\s*=\s*[\"']?main\b", m[4], re.I) is not None
-        if aside or not inline:
-            stack.append((name, aside, main))
-            asides += aside
+        if against and inline:  # an inline element that counts against is a line of its own
+            end_line()
+        if against or not inline:
+            stack.append((name, against, main))
+            marks[against] += 1
             mains += main
     take(html[at:])
     end_line()
     return lines
 
 
+def windows(weights: list[int]) -> list[int]:
+    """The sum of each line's weight and those of the next lines, WINDOW in all; lines that count against hold none."""
+    held = [max(w, 0) for w in weights]
+    return [sum(held[k : k + WINDOW]) for k in range(len(held))]
+
+
 def main_text(html: str) -> str:
-    lines = [(text, n, main) for text, n, main in lines_of(html) if text]
-    weight = [n and n + EVIDENCE * main for _, n, main in lines]
+    lines = lines_of(html)
+    weights = [w for _, w in lines]
+    ahead = windows(weights)
+    surge = min(SURGE, SHARE * max(ahead, default=0))
+    dive = min(EVIDENCE, surge)
     kept: list[str] = []
-    k = 0
-    while k < len(lines):
-        if weight[k] and sum(weight[k : k + WINDOW]) >= SURGE:
-            stop = k
-            while stop < len(lines) and any(weight[stop : stop + WINDOW]):  # until the dive
-                stop += 1
-            kept += [text for text, _, _ in lines[k:stop]]
-            k = stop
-        else:
-            k += 1
-    return "\n".join(kept or [text for text, n, _ in lines if n])
+    is_open = False
+    for (text, weight), block in zip(lines, ahead, strict=True):
+        if weight > 0 and block >= surge:
+            is_open = True
+        elif block < dive or weight <= 0 and not block:
+            is_open = False
+        if is_open and weight >= 0:
+            kept.append(text)
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
