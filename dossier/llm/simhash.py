@@ -13,9 +13,10 @@ near_copies() is the form for pipelines: five-word shingles and a similarity of
 would miss for the most part. Its fingerprints are longer and of distinct shingles; bands of them go through the
 same trie join, which only proposes pairs. A pair is a link when the exact Jaccard similarity of its shingle sets
 says so. By independent bits, 99.7 % of the pairs at 0.8 have one of the 16 bands of 32 bits with 4 errors at most
-and none in one of its two blocks of 8. In a dense group each text proposes its closest one and the group's first, and
-further ones only as long as they aren't in its component yet, so that a group of near copies costs about as many
-comparisons as it has members. Texts whose similarities all lie a little below 0.8 are compared each with each.
+and none in one of its two blocks of 8; and of these pairs 97.7 % differ in few enough of all 512 bits to be proposed
+(99.9 % of those at 0.85). In a dense group a forest of likely pairs is compared, and other pairs only as
+far as its links fail, so that a group of near copies costs about as many comparisons as it has members. Texts whose
+similarities all lie a little below 0.8 are compared each with each.
 
 Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows share their component.
 Null ids take part, but name a component only if all its ids are null.
@@ -44,10 +45,10 @@ BANDS = WORDS * BITS // BAND
 _ODD = np.random.default_rng(2).integers(1, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: A band is dealt by BLOCKS blocks of BLOCK bits, in which a pair has no error; it has ERRORS at most in the band.
 BLOCKS, BLOCK, ERRORS = 2, 8, 4
-#: Bands whose links are made before the others are looked at.
-FIRST_BANDS = 4
-#: Pairs that a text proposes at first in each place where it is dealt, and by how much more in every further round.
-CLOSEST, MORE = 1, 16
+#: Pairs are proposed whose fingerprints differ in as many bits as expected at the similarity, and so many deviations more.
+DEVIATIONS = 2
+#: Pairs between trees that a text proposes at first in each place where it is dealt, and by how much more in every later round.
+CLOSEST, MORE = 1, 8
 #: Rows of whole groups that are taken together; pairs that wait for a sort.
 PART_ROWS, AT_ONCE = 200_000, 2_000_000
 
@@ -149,7 +150,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # Settled once every id has one link, to an id that has none itself.
         tied = now.groupBy("u").agg(F.count("*").alias("n"))
-        if tied.filter("n > 1").isEmpty() and now.select("v").distinct().join(tied, F.col("u") == F.col("v"), "left_semi").isEmpty():
+        if tied.filter("n > 1").select("u").unionAll(now.select("v").distinct().join(tied, F.col("u") == F.col("v"), "left_semi")).isEmpty():
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
         # large star: every larger neighbour of a node is tied to the node's smallest neighbour
         both = now.union(now.select("v", "u")).toDF("x", "y")
@@ -180,52 +181,90 @@ def most_differing(similarity: float, bits: int, deviations: float = 4) -> int:
     return int(np.ceil(p * bits + deviations * np.sqrt(p * (1 - p) * bits)))
 
 
-def closest(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], apart: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int, sure: int, far: int, component: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """i, j, distance, more: for each node its `most` closest ones of other components within `far`, and whether it has more of them.
+def settled(label: np.ndarray) -> np.ndarray:
+    """Each node's root, of pointers without a cycle."""
+    while ((up := label[label]) != label).any():
+        label = up
+    return label
+
 
-    The first node by id among those within `sure` comes besides: members of a dense group have it in common, so that few
-    links join them.
+def chosen(ids: np.ndarray, near: Callable[[], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], likely: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, more: the pairs to compare, of all that near() gives with their distances.
+
+    Pairs within `likely` are spanned by a forest: every node is tied to the first one by id that is near it, which the
+    members of a dense group have in common, and what this leaves apart by further pairs. Of pairs between trees, each node has its
+    `most` closest ones, and `more` tells that it has others.
     """
     n = len(ids)
-    empty = np.zeros(0, np.int64)
-    i, j, d = empty, empty, empty
-    more = np.zeros(n, bool)
     by_id = np.argsort(ids, kind="stable")
-    order_of = np.empty(n, np.int64)
-    order_of[by_id] = np.arange(n)
-    hub = np.full(n, n)
+    rank = np.empty(n, np.int64)
+    rank[by_id] = np.arange(n)
+    hub, root = np.full(n, n), np.arange(n)
+    for a, b, d in near() if likely >= 0 else ():
+        a, b = a[d <= likely], b[d <= likely]
+        np.minimum.at(hub, a, rank[b])
+        np.minimum.at(hub, b, rank[a])
+    tied = np.flatnonzero(hub < rank)
+    root[tied] = by_id[hub[tied]]
+    left, right = [tied], [root[tied].copy()]
+    root = settled(root)
     waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    i, j, d = (np.zeros(0, np.int64) for _ in range(3))
+    more = np.zeros(n, bool)
 
     def settle() -> None:
         nonlocal i, j, d
         i, j, d = (np.concatenate(x) for x in zip((i, j, d), *waiting, strict=True))
         waiting.clear()
+        i, j, d = (x[root[i] != root[j]] for x in (i, j, d))
         order = np.lexsort((j, d, i))
         i, j, d = i[order], j[order], d[order]
-        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else empty
-        rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
-        more[i[rank >= most]] = True
-        i, j, d = (x[rank < most] for x in (i, j, d))
-
-    for a, b in pairs:
-        other = component[a] != component[b]
-        a, b = a[other], b[other]
-        x = apart(a, b)
-        a, b, x = a[x <= far], b[x <= far], x[x <= far].astype(np.int64)
-        for here, there in ((a, b), (b, a)):
-            np.minimum.at(hub, here[x <= sure], order_of[there[x <= sure]])
-            waiting.append((here, there, x))
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+        place = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+        more[i[place >= most]] = True
+        i, j, d = (x[place < most] for x in (i, j, d))
+
+    for a, b, x in near():
+        other = (x > likely) & (root[a] != root[b])
+        waiting += [(a[other], b[other], x[other]), (b[other], a[other], x[other])]
         if sum(len(w[0]) for w in waiting) > AT_ONCE:
             settle()
+        a, b = a[x <= likely], b[x <= likely]
+        while (apart := root[a] != root[b]).any():
+            a, b = a[apart], b[apart]
+            high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+            _, one = np.unique(high, return_index=True)  # each tree joins one with a lower root
+            left.append(a[one])
+            right.append(b[one])
+            root[high[one]] = low[one]
+            root = settled(root)
     settle()
-    has = np.flatnonzero(hub < n)
-    to = by_id[hub[has]]
-    i, j, d = np.concatenate([i, has]), np.concatenate([j, to]), np.concatenate([d, apart(has, to).astype(np.int64)])
-    return i, j, d, more[i]
+    return np.concatenate([*left, i]), np.concatenate([*right, j]), more
+
+
+class Kept:
+    """A generator's items, held for a second pass while they have few rows; else it runs again."""
 
+    def __init__(self, run: Callable[[], Iterator[tuple[np.ndarray, ...]]], rows: int = AT_ONCE) -> None:
+        self.run, self.rows = run, rows
+        self.items: list[tuple[np.ndarray, ...]] | None = None
 
-def dealt(nodes: DataFrame, bands: range) -> DataFrame:
-    """nodes (fp, id, component) under blocks of the given bands of their fingerprints, with two other words of the fingerprint.
+    def __call__(self) -> Iterator[tuple[np.ndarray, ...]]:
+        if self.items is not None:
+            yield from self.items
+            return
+        items, n = [], 0
+        for item in self.run():
+            n += len(item[0])
+            if n <= self.rows:
+                items.append(item)
+            yield item
+        if n <= self.rows:
+            self.items = items
+
+
+def dealt(nodes: DataFrame) -> DataFrame:
+    """nodes (fp, id, component) under the blocks of each band of their fingerprints, with the fingerprint.
 
     key: the place (band and block), and the band's bits from that block on. The bands are the same for every number of
     nodes, so that a pair found in a small table is found in a large one.
@@ -236,45 +275,53 @@ def dealt(nodes: DataFrame, bands: range) -> DataFrame:
             if not b.num_rows:
                 continue
             fp = flat_bytes(b.column("fp"))[0].view("<u8").reshape(-1, WORDS)
-            for band in bands:
+            for band in range(BANDS):
                 word, off = divmod(band * BAND, BITS)
                 x = (fp[:, word] >> np.uint64(off)) & np.uint64((1 << BAND) - 1)
-                others = np.ascontiguousarray(fp[:, [(word + 1) % WORDS, (word + 2) % WORDS]])
-                held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(others)]).cast(pa.binary())
                 for k in range(BLOCKS):
                     by = k * BAND // BLOCKS
                     key = ((x << np.uint64(by)) | (x >> np.uint64(BAND - by))) & np.uint64((1 << BAND) - 1)
                     key |= np.uint64((band * BLOCKS + k) << BAND)
-                    yield pa.record_batch([pa.array(key.view(np.int64)), b.column("id"), b.column("component"), held], ["key", "id", "component", "fp"])
+                    yield pa.record_batch([pa.array(key.view(np.int64)), b.column("id"), b.column("component"), b.column("fp")], ["key", "id", "component", "fp"])
 
     return nodes.select("fp", "id", "component").mapInArrow(deal, "key long, id long, component long, fp binary")
 
 
-def proposed(dealt: DataFrame, most: int, similarity: float) -> DataFrame:
-    """id, other, d, more: for each id of dealt() in each of its places the ones that closest() gives."""
+def proposed(dealt: DataFrame, most: int, similarity: float, spanned: bool) -> DataFrame:
+    """id, other, more: pairs of ids of dealt() to compare, as chosen() in each place; and the ids that have more of them, with null others."""
     place_bits = (BANDS * BLOCKS - 1).bit_length()
     unused = BITS - BAND - place_bits
+    likely = most_differing(similarity, WORDS * BITS, 0) if spanned else -1
+    far = most_differing(similarity, WORDS * BITS, DEVIATIONS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["front"], PART_ROWS):
             key, ids, component = (t.column(c).to_numpy() for c in ("key", "id", "component"))
             fp = flat_bytes(t.column("fp"))[0].view("<u8").reshape(len(ids), -1)
-            bits = fp.shape[1] * BITS
-            pairs = close_pairs(key.view(np.uint64) << np.uint64(unused), place_bits + BLOCK, ERRORS, place_bits + BAND)
-            i, j, d, more = closest(ids, pairs, lambda a, b, fp=fp: np.bitwise_count(fp[a] ^ fp[b]).sum(1), most, most_differing(similarity, bits, 0), most_differing(similarity, bits), component)
-            yield pa.record_batch([pa.array(ids[i]), pa.array(ids[j]), pa.array(d), pa.array(more)], ["id", "other", "d", "more"])
+
+            def near() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                for a, b in close_pairs(key.view(np.uint64) << np.uint64(unused), place_bits + BLOCK, ERRORS, place_bits + BAND):  # noqa: B023
+                    a, b = (x[component[a] != component[b]] for x in (a, b))  # noqa: B023
+                    d = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64)  # noqa: B023
+                    if (d <= far).any():
+                        yield a[d <= far], b[d <= far], d[d <= far]
+
+            i, j, more = chosen(ids, Kept(near), likely, most)
+            others = np.flatnonzero(more)
+            flag = np.r_[np.zeros(len(i), bool), np.ones(len(others), bool)]
+            yield pa.record_batch([pa.array(np.r_[ids[i], ids[others]]), pa.array(np.r_[ids[j], ids[others]], mask=flag), pa.array(flag)], ["id", "other", "more"])
 
     front = F.shiftright("key", BAND - BLOCK).alias("front")
     rows = dealt.select(front, "key", "id", "component", "fp")
-    return rows.repartition(max(8, partitions(dealt.sparkSession)), "front").sortWithinPartitions("front", "key").mapInArrow(run, "id long, other long, d long, more boolean")
+    return rows.repartition(max(8, partitions(dealt.sparkSession)), "front").sortWithinPartitions("front", "key").mapInArrow(run, "id long, other long, more boolean")
 
 
 def similar_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """id, component of the linked ids of nodes (fp, id): all proposed pairs whose shingle sets are similar are links.
+    """id, component of the linked ids of nodes (fp, id): proposed pairs whose shingle sets are similar are links.
 
-    sets(ids) gives id and shingles (their set) of the wanted ids. Pairs within one component need no comparison, so a
-    few bands come first, and what they link isn't proposed by the others. A pair that isn't proposed in a place has
-    more candidates there on both sides; such nodes are dealt again, and propose MORE times as many.
+    sets(ids) gives id and shingles (their set) of the wanted ids. At first a forest of likely pairs is compared. A pair
+    that isn't proposed lies within one tree of it, whose links may have failed, or has nearer ones on both sides; nodes
+    of which one or the other is so are dealt again, and propose more of the pairs that still lie between components.
     """
     spark = nodes.sparkSession
     tried = spark.createDataFrame([], "a long, b long")
@@ -284,39 +331,30 @@ def similar_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame],
     def component(df: DataFrame, of: str, name: str) -> DataFrame:
         return df.join(found.toDF(of, name), of, "left").withColumn(name, F.coalesce(name, of))
 
-    for bands in (range(FIRST_BANDS), range(FIRST_BANDS, BANDS)):
-        active, most = nodes, CLOSEST
-        while True:
-            told = stored(proposed(dealt(component(active.select("fp", "id"), "id", "component"), bands), most, similarity))
-            pairs = told.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.min("d").alias("d"))
-            pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
-            ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(shingles.select("id"), "id", "left_anti"))
-            if not ids.isEmpty():
-                shingles = shingles.unionAll(stored(sets(ids)))
-            # For each id its closest one and its first one; then one pair of any two components; then what is left.
-            both = pairs.select("a", "b", "d", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("a", "b", "d", "e.*")
-            chosen = both.groupBy("x").agg(F.min(F.struct("d", "a", "b")).alias("p"), F.min(F.struct("y", "a", "b")).alias("q"))
-            chosen = chosen.select(F.explode(F.array(F.struct("p.a", "p.b"), F.struct("q.a", "q.b"))).alias("e")).select("e.*").distinct()
-            for turn in range(3):
-                rows = chosen if turn == 0 else pairs
-                rows = component(component(rows.join(tried, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca <> cb")
-                if turn == 1:
-                    rows = rows.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
-                rows = stored(rows.select("a", "b"))
-                if rows.isEmpty():
-                    break
-                held = rows.join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
-                shared = F.size(F.array_intersect("sa", "sb"))
-                held = stored(held.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared) >= similarity).alias("linked")))
-                tried = tried.unionAll(rows)
-                new = held.filter("linked").select("a", "b")
-                if not new.isEmpty():
-                    found = components(found.toDF("a", "b").unionAll(new))
-            active = nodes.join(told.filter("more").select("id").distinct(), "id", "left_semi")
-            most *= MORE
-            if active.isEmpty():
-                break
-    return found
+    active, most, spanned = nodes, CLOSEST, True
+    while True:
+        told = stored(proposed(dealt(component(active.select("fp", "id"), "id", "component")), most, similarity, spanned))
+        pairs = told.filter("not more").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
+        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(shingles.select("id"), "id", "left_anti"))
+        if not ids.isEmpty():
+            shingles = shingles.unionAll(stored(sets(ids)))
+        held = pairs.join(shingles.toDF("a", "sa"), "a").join(shingles.toDF("b", "sb"), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        held = stored(held.select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared) >= similarity).alias("linked")))
+        tried = tried.unionAll(pairs)
+        new = held.filter("linked").select("a", "b")
+        if not new.isEmpty():
+            found = components(found.toDF("a", "b").unionAll(new))
+        again = told.filter("more").select("id").distinct()
+        if spanned:  # all nodes of components that a failed link of a tree would have joined
+            failed = component(component(held.filter("not linked").select("a", "b"), "a", "ca"), "b", "cb").filter("ca <> cb")
+            touched = failed.select(F.explode(F.array("ca", "cb")).alias("component")).distinct()
+            again = again.unionAll(component(nodes.select("id"), "id", "component").join(touched, "component", "left_semi").select("id")).distinct()
+        again = stored(again)
+        if again.isEmpty():
+            return found
+        active, most, spanned = nodes.join(again, "id", "left_semi"), 2 if spanned else most * MORE, False
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -174,18 +174,44 @@ def test_near_copies_by_exact_similarity(spark):
     assert found[1000] != found[1001]
 
 
-def test_near_copies_of_a_dense_group(spark, monkeypatch):
-    """More close pairs than a text proposes at first: all components are those of brute force."""
-    monkeypatch.setattr(simhash, "CLOSEST", 1)
-    monkeypatch.setattr(simhash, "MORE", 2)
+def test_near_copies_of_a_dense_group(spark):
+    """Links that fail within a forest's tree are made good: all components are those of brute force."""
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
     base = [word() for _ in range(300)]
-    data = [(i, " ".join(base[: 300 - 18 * (i % 4)] + [word() for _ in range(18 * (i % 4))])) for i in range(40)]
+    data = []
+    for i in range(60):
+        own = list(base)
+        for at in range(0, 300, 300 // (1 + i % 12)):
+            own[at] = word()
+        data.append((i, " ".join(own)))
     sets = shingle_sets(data)
-    label = naive_components(range(40), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    label = naive_components(range(60), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    assert [[found[a] == found[b] for a in range(40)] for b in range(40)] == [[label[a] == label[b] for a in range(40)] for b in range(40)]
+    assert [found[a] for a in range(60)] == label
+
+
+def test_chosen_pairs_leave_nothing_out():
+    """Every near pair is proposed, or in one tree of the likely ones, or has nodes with more on both sides."""
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        n = 40
+        a, b = np.triu_indices(n, 1)
+        some = rng.random(len(a)) < rng.choice([0.05, 0.3])
+        a, b = a[some], b[some]
+        d = rng.integers(0, 10, len(a))
+        ids = rng.permutation(n)
+        likely = int(rng.integers(-1, 8))
+        i, j, more = simhash.chosen(ids, simhash.Kept(lambda: iter([(a[:50], b[:50], d[:50]), (a[50:], b[50:], d[50:])]), int(rng.choice([10, 1000]))), likely, 2)
+        told = {frozenset(p) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        near = {frozenset(p): x for p, x in zip(zip(a.tolist(), b.tolist(), strict=True), d.tolist(), strict=True)}
+        assert told <= set(near)
+        tree = simhash.forest(n, iter([tuple(np.array([sorted(p) for p in told if near[p] <= likely], np.int64).reshape(-1, 2).T)]))
+        whole = simhash.forest(n, iter([(a[d <= likely], b[d <= likely])]))
+        assert (tree == whole).all() and sum(near[p] <= likely for p in told) == n - len(set(whole.tolist()))
+        for p in set(near) - told:
+            x, y = p
+            assert tree[x] == tree[y] or (more[x] and more[y])
 
 
 def test_bands_of_every_size():
