@@ -47,8 +47,8 @@ _ODD = np.random.default_rng(2).integers(1, 2**63, WORDS, np.uint64) * np.uint64
 BLOCKS, BLOCK, ERRORS = 2, 8, 4
 #: Pairs are proposed whose fingerprints differ in as many bits as expected at the similarity, and so many deviations more.
 DEVIATIONS = 2
-#: Pairs between trees that a text proposes at first in each place where it is dealt, and by how much more in every later round.
-CLOSEST, MORE = 1, 8
+#: Pairs between trees or components that a text proposes in each place where it is dealt: at first, then, and last.
+CLOSEST, FURTHER, ALL = 1, 2, 1 << 40
 #: Rows of whole groups that are taken together; pairs that wait for a sort.
 PART_ROWS, AT_ONCE = 200_000, 2_000_000
 
@@ -239,7 +239,9 @@ def chosen(ids: np.ndarray, near: Callable[[], Iterator[tuple[np.ndarray, np.nda
             root[high[one]] = low[one]
             root = settled(root)
     settle()
-    return np.concatenate([*left, i]), np.concatenate([*right, j]), more
+    i, j = np.concatenate([*left, i]), np.concatenate([*right, j])
+    pairs = np.unique(np.minimum(i, j) * n + np.maximum(i, j))
+    return pairs // n, pairs % n, more
 
 
 class Kept:
@@ -287,6 +289,13 @@ def dealt(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp", "id", "component").mapInArrow(deal, "key long, id long, component long, fp binary")
 
 
+def first_place(x: np.ndarray) -> np.ndarray:
+    """The first place where two fingerprints meet, by the bits in which they differ; so that one place alone tells of them."""
+    bands = x.view("<u4").reshape(-1, BANDS)
+    agree = [(bands >> np.uint32(BAND - BLOCK - k * BAND // BLOCKS)) & np.uint32((1 << BLOCK) - 1) == 0 for k in range(BLOCKS)]
+    return ((np.bitwise_count(bands) <= ERRORS)[:, :, None] & np.stack(agree, 2)).reshape(-1, BANDS * BLOCKS).argmax(1)
+
+
 def proposed(dealt: DataFrame, most: int, similarity: float, spanned: bool) -> DataFrame:
     """id, other, more: pairs of ids of dealt() to compare, as chosen() in each place; and the ids that have more of them, with null others."""
     place_bits = (BANDS * BLOCKS - 1).bit_length()
@@ -302,9 +311,12 @@ def proposed(dealt: DataFrame, most: int, similarity: float, spanned: bool) -> D
             def near() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
                 for a, b in close_pairs(key.view(np.uint64) << np.uint64(unused), place_bits + BLOCK, ERRORS, place_bits + BAND):  # noqa: B023
                     a, b = (x[component[a] != component[b]] for x in (a, b))  # noqa: B023
-                    d = np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64)  # noqa: B023
-                    if (d <= far).any():
-                        yield a[d <= far], b[d <= far], d[d <= far]
+                    x = fp[a] ^ fp[b]  # noqa: B023
+                    d = np.bitwise_count(x).sum(1, dtype=np.int64)
+                    a, b, d, x = (y[d <= far] for y in (a, b, d, x))
+                    here = first_place(x) == key[a] >> BAND  # noqa: B023
+                    if here.any():
+                        yield a[here], b[here], d[here]
 
             i, j, more = chosen(ids, Kept(near), likely, most)
             others = np.flatnonzero(more)
@@ -321,7 +333,8 @@ def similar_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame],
 
     sets(ids) gives id and shingles (their set) of the wanted ids. At first a forest of likely pairs is compared. A pair
     that isn't proposed lies within one tree of it, whose links may have failed, or has nearer ones on both sides; nodes
-    of which one or the other is so are dealt again, and propose more of the pairs that still lie between components.
+    of which one or the other is so are dealt again, propose more of the pairs that still lie between components, and in
+    the third round all of them.
     """
     spark = nodes.sparkSession
     tried = spark.createDataFrame([], "a long, b long")
@@ -354,7 +367,7 @@ def similar_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame],
         again = stored(again)
         if again.isEmpty():
             return found
-        active, most, spanned = nodes.join(again, "id", "left_semi"), 2 if spanned else most * MORE, False
+        active, most, spanned = nodes.join(again, "id", "left_semi"), FURTHER if spanned else ALL, False
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
