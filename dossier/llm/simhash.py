@@ -266,7 +266,7 @@ class Kept:
 
 
 def dealt(nodes: DataFrame) -> DataFrame:
-    """nodes (fp, id, component) under the blocks of each band of their fingerprints, with the fingerprint.
+    """nodes (fp, id, component, size of the set) under the blocks of each band of their fingerprints, with the fingerprint.
 
     key: the place (band and block), and the band's bits from that block on. The bands are the same for every number of
     nodes, so that a pair found in a small table is found in a large one.
@@ -284,9 +284,9 @@ def dealt(nodes: DataFrame) -> DataFrame:
                     by = k * BAND // BLOCKS
                     key = ((x << np.uint64(by)) | (x >> np.uint64(BAND - by))) & np.uint64((1 << BAND) - 1)
                     key |= np.uint64((band * BLOCKS + k) << BAND)
-                    yield pa.record_batch([pa.array(key.view(np.int64)), b.column("id"), b.column("component"), b.column("fp")], ["key", "id", "component", "fp"])
+                    yield pa.record_batch([pa.array(key.view(np.int64)), b.column("id"), b.column("component"), b.column("size"), b.column("fp")], ["key", "id", "component", "size", "fp"])
 
-    return nodes.select("fp", "id", "component").mapInArrow(deal, "key long, id long, component long, fp binary")
+    return nodes.select("fp", "id", "component", "size").mapInArrow(deal, "key long, id long, component long, size int, fp binary")
 
 
 def first_place(x: np.ndarray) -> np.ndarray:
@@ -305,12 +305,14 @@ def proposed(dealt: DataFrame, most: int, similarity: float, spanned: bool) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["front"], PART_ROWS):
-            key, ids, component = (t.column(c).to_numpy() for c in ("key", "id", "component"))
+            key, ids, component, size = (t.column(c).to_numpy() for c in ("key", "id", "component", "size"))
             fp = flat_bytes(t.column("fp"))[0].view("<u8").reshape(len(ids), -1)
 
             def near() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
                 for a, b in close_pairs(key.view(np.uint64) << np.uint64(unused), place_bits + BLOCK, ERRORS, place_bits + BAND):  # noqa: B023
-                    a, b = (x[component[a] != component[b]] for x in (a, b))  # noqa: B023
+                    # Sets of such sizes can be as similar, and the nodes aren't in one component.
+                    able = (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])) & (component[a] != component[b])  # noqa: B023
+                    a, b = a[able], b[able]
                     x = fp[a] ^ fp[b]  # noqa: B023
                     d = np.bitwise_count(x).sum(1, dtype=np.int64)
                     a, b, d, x = (y[d <= far] for y in (a, b, d, x))
@@ -324,12 +326,12 @@ def proposed(dealt: DataFrame, most: int, similarity: float, spanned: bool) -> D
             yield pa.record_batch([pa.array(np.r_[ids[i], ids[others]]), pa.array(np.r_[ids[j], ids[others]], mask=flag), pa.array(flag)], ["id", "other", "more"])
 
     front = F.shiftright("key", BAND - BLOCK).alias("front")
-    rows = dealt.select(front, "key", "id", "component", "fp")
+    rows = dealt.select(front, "key", "id", "component", "size", "fp")
     return rows.repartition(max(8, partitions(dealt.sparkSession)), "front").sortWithinPartitions("front", "key").mapInArrow(run, "id long, other long, more boolean")
 
 
 def similar_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """id, component of the linked ids of nodes (fp, id): proposed pairs whose shingle sets are similar are links.
+    """id, component of the linked ids of nodes (fp, id, size): proposed pairs whose shingle sets are similar are links.
 
     sets(ids) gives id and shingles (their set) of the wanted ids. At first a forest of likely pairs is compared. A pair
     that isn't proposed lies within one tree of it, whose links may have failed, or has nearer ones on both sides; nodes
@@ -346,7 +348,7 @@ def similar_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame],
 
     active, most, spanned = nodes, CLOSEST, True
     while True:
-        told = stored(proposed(dealt(component(active.select("fp", "id"), "id", "component")), most, similarity, spanned))
+        told = stored(proposed(dealt(component(active.select("fp", "id", "size"), "id", "component")), most, similarity, spanned))
         pairs = told.filter("not more").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
         ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(shingles.select("id"), "id", "left_anti"))
@@ -382,7 +384,7 @@ def _groups(docs: DataFrame, width: int, similarity: float, id_col: str, text_co
         for b in small(batches):
             held = [shingle_set(t or b"", width) for t in b.column(2).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in held], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([long_fingerprint(h) for h in held], pa.binary()), pa.array(node)], ["doc_id", "text_key", "fp", "node"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([long_fingerprint(h) for h in held], pa.binary()), pa.array(node), pa.array([len(h) for h in held], pa.int32())], ["doc_id", "text_key", "fp", "node", "size"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -395,10 +397,10 @@ def _groups(docs: DataFrame, width: int, similarity: float, id_col: str, text_co
         return held.mapInArrow(shingles, "id long, shingles array<long>").dropDuplicates(["id"])
 
     texts = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary"))
-    rows = reliable(texts.mapInArrow(run, "doc_id long, text_key long, fp binary, node long"))
+    rows = reliable(texts.mapInArrow(run, "doc_id long, text_key long, fp binary, node long, size int"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key"))
-    nodes = reliable(rows.groupBy("node").agg(F.first("fp").alias("fp"), first.alias("first")))
-    found = similar_components(nodes.select("fp", F.col("node").alias("id")), sets, similarity)
+    nodes = reliable(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), first.alias("first")))
+    found = similar_components(nodes.select("fp", F.col("node").alias("id"), "size"), sets, similarity)
     grouped = nodes.select("node", "first").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("first").alias("first"))
     return rows.join(grouped.drop("first").join(least, "component").select("node", "first"), "node").select("doc_id", "text_key", "first")
