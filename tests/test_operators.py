@@ -358,3 +358,34 @@ def test_settings():
     for wrong in ({"floor_per_pair": 0}, {"floor_per_pair": 9}, {"min_year": 2030}, {"tokens_per_minute": 99_000}, {"user_agent": "x"}):
         with pytest.raises(ValueError):
             Settings(**wrong)
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("Item 1. Business", ["1"]),
+        ("ITEM\xa07A\u2014 Risk", ["7A"]),
+        ("x\nitem 10 : y", ["10"]),
+        ("Item1b", ["1B"]),
+        ("Item    9C -", ["9C"]),
+        ("Item     9C", []),
+        ("Line-item 1.", []),
+        ("subitem 1", []),
+        ("Item 123", []),
+        ("Item 1.5", []),
+        ("Item 1AB", []),
+        ("Items 1 and 2", []),
+        ("Part II Item 2.", ["2"]),
+    ],
+)
+def test_item_headings(text, found):
+    from dossier.operators.sections import ITEM
+
+    assert [m["label"].upper() for m in ITEM.finditer(text)] == found
+
+
+@pytest.mark.parametrize(("text", "found"), [("PART I", ["I"]), ("part\xa0iv.", ["IV"]), ("Part III, Item 1", ["III"]), ("Part IIII", []), ("counterpart I", []), ("Part Ia", []), ("PartII", []), ("Part II-x", ["II"])])
+def test_part_headings(text, found):
+    from dossier.operators.sections import PART
+
+    assert [m["label"].upper() for m in PART.finditer(text)] == found
