@@ -71,15 +71,18 @@ def corpus_model_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.corpus_model(table(spark, sf_dir, "part").select(F.col("p_brand").alias("embedding_model_version")))
 
 
+FILING = "user_id * 100000 + unix_date(cast(ts as date))"
+
+
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event of a user below 25 in its first hours is a job: errors failed, purchases done, clicks left running."""
-    rows = table(spark, sf_dir, "events").filter("event_type in ('error', 'purchase', 'click') and event_id % 17 = 0")
+    """A user's day is a filing, and each of its errors, purchases and clicks a job: failed, done, or left running."""
+    rows = table(spark, sf_dir, "events").filter("event_type in ('error', 'purchase', 'click')")
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "done").otherwise("running")
-    return rows.select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("job_id"), F.col("user_id").alias("filing_id"), status.alias("status"), F.lit(None).cast("string").alias("error"), F.col("ts").cast("timestamp").alias("started_at"), F.when(status != "running", F.col("ts").cast("timestamp") + F.expr("interval 5 minutes")).alias("completed_at"), F.lit("embed").alias("step"))
+    return rows.select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("job_id"), F.expr(FILING).alias("filing_id"), status.alias("status"), F.lit(None).cast("string").alias("error"), F.col("ts").cast("timestamp").alias("started_at"), F.when(status != "running", F.col("ts").cast("timestamp") + F.expr("interval 5 minutes")).alias("completed_at"), F.lit("embed").alias("step"))
 
 
 def _job_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("filing_id")).agg(F.min("ts").cast("timestamp").alias("created_at"))
+    users = table(spark, sf_dir, "events").groupBy(F.expr(FILING).alias("filing_id")).agg(F.min("ts").cast("timestamp").alias("created_at"))
     return users.withColumn("status", F.when(F.col("filing_id") % 3 == 0, "pending").when(F.col("filing_id") % 3 == 1, "processing").otherwise("processed"))
 
 
@@ -174,8 +177,8 @@ QUERIES = {
 
 _UNNEST = """o as (select *, row_number() over (partition by o_custkey order by o_orderkey) as i, count(*) over (partition by o_custkey) as n, lpad(o_custkey::varchar, 10, '0') as cik, '0000-00-' || o_orderkey as acc from orders),
 hit as (select * from o where i < n and o_orderstatus in ('F', 'O') and o_orderdate::date between '1994-01-01' and '1996-12-31')"""
-_JOBS = """jobs as (select lpad(event_id::varchar, 12, '0') as job_id, user_id as filing_id, case event_type when 'error' then 'failed' when 'purchase' then 'done' else 'running' end as status, ts as started_at, case when event_type <> 'click' then ts + interval 5 minutes end as completed_at from events where event_type in ('error', 'purchase', 'click') and event_id % 17 = 0),
-filings as (select user_id as filing_id, min(ts) as created_at, case user_id % 3 when 0 then 'pending' when 1 then 'processing' else 'processed' end as status from events group by 1),
+_JOBS = """jobs as (select lpad(event_id::varchar, 12, '0') as job_id, user_id * 100000 + date_diff('day', date '1970-01-01', ts::date) as filing_id, case event_type when 'error' then 'failed' when 'purchase' then 'done' else 'running' end as status, ts as started_at, case when event_type <> 'click' then ts + interval 5 minutes end as completed_at from events where event_type in ('error', 'purchase', 'click')),
+filings as (select user_id * 100000 + date_diff('day', date '1970-01-01', ts::date) as filing_id, min(ts) as created_at, case (user_id * 100000 + date_diff('day', date '1970-01-01', ts::date)) % 3 when 0 then 'pending' when 1 then 'processing' else 'processed' end as status from events group by 1),
 counted as (select filing_id, count(*) as attempts, max(completed_at) filter (status = 'failed') as last_failed from jobs group by 1)"""
 _STEPS = "steps as (select user_id, event_id, event_type, floor(epoch_us(ts) / 1000000)::double as pos, floor(value * 2)::double as tokens, row_number() over (partition by user_id order by ts, event_id) as i from events)"
 
