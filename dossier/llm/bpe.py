@@ -4,8 +4,8 @@ A rolling hash over the bytes cuts each text into chunks whose borders depend on
 a passage that many documents share gives the same chunks in all of them. A chunk is encoded once and
 kept in the Python worker's bounded memory. Where two chunks meet, tokens may differ from those of the
 whole text; the join is repaired by encoding again the stretch between the nearest two places at which
-the pre-tokenizer cuts whatever stands around them. If a chunk has no such place, the stretch grows over
-the next chunk, until both of its ends agree with their neighbours' tokens. The result equals the
+the pre-tokenizer cuts whatever stands around them, so that both of its ends agree with their neighbours'
+tokens. If a chunk has no such place, the stretch grows over the next chunk. The result equals the
 tokenizers library's on the whole text.
 
 Null texts count as empty and have no tokens. Ties, repeated rows and further columns don't matter: each
