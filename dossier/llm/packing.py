@@ -28,7 +28,7 @@ from dossier.llm.bpe import grouped, tokenizer
 from dossier.llm.common import pick, small, stored
 
 #: Pieces of one length that are ranked together; a length has as many buckets as it needs.
-BUCKET_ROWS = 200_000
+BUCKET_ROWS = 2000
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
