@@ -15,8 +15,9 @@ same trie join, which only proposes pairs. A pair is a link when the exact Jacca
 says so. By independent bits, 99.7 % of the pairs at 0.8 have one of the 16 bands of 32 bits with 4 errors at most
 and none in one of its two blocks of 8; and of these pairs 97.7 % differ in few enough of all 512 bits to be proposed
 (99.9 % of those at 0.85). In a dense group a forest of likely pairs is compared, and other pairs only as
-far as its links fail, so that a group of near copies costs about as many comparisons as it has members. Texts whose
-similarities all lie a little below 0.8 are compared each with each.
+far as its links fail, so that a group of near copies costs about as many comparisons as it has members. Of those other
+pairs, the sets' sizes by slice of the hash space bound the similarity from above, and pairs whose bound is too low are
+left out, which loses no link. Texts whose similarities all lie a little below 0.8 are compared each with each.
 
 Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows share their component.
 Null ids take part, but name a component only if all its ids are null.
@@ -49,6 +50,8 @@ BLOCKS, BLOCK, ERRORS = 2, 8, 4
 DEVIATIONS = 2
 #: Pairs between trees or components that a text proposes in each place where it is dealt: at first, then, and last.
 CLOSEST, FURTHER, ALL = 1, 2, 1 << 40
+#: Slices of the hash space whose sizes bound a pair's similarity, and the pairs that are bounded at once.
+SLICES, BOUNDED = 256, 20_000
 #: Rows of whole groups that are taken together; pairs that wait for a sort.
 PART_ROWS, AT_ONCE = 200_000, 2_000_000
 
@@ -175,6 +178,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3, id_col: st
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def slice_sizes(h: np.ndarray) -> bytes:
+    """How many hashes of a set lie in each slice of the hash space, modulo 256."""
+    return np.bincount(h.view(np.uint64) >> np.uint64(56), minlength=SLICES).astype(np.uint8).tobytes()
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with these slice_sizes (rows of a and b), and with `sizes` elements together, can be as similar.
+
+    Two sets differ by at least as many elements as their sizes do in each slice; sizes modulo 256 differ by no more than
+    the sizes themselves when taken the short way around. So no pair that is as similar is refused.
+    """
+    differ = np.abs((a - b).view(np.int8).astype(np.int16)).sum(1, dtype=np.int64)
+    return sizes - differ >= similarity * (sizes + differ) - 1e-9 * sizes
+
+
 def most_differing(similarity: float, bits: int, deviations: float = 4) -> int:
     """Bits of so many in which shingle sets of this Jaccard similarity differ at most, so many deviations above what is expected."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
@@ -266,7 +284,7 @@ class Kept:
 
 
 def dealt(nodes: DataFrame) -> DataFrame:
-    """nodes (fp, id, component, size of the set) under the blocks of each band of their fingerprints, with the fingerprint.
+    """nodes (fp, id, component, size and slices of the set) under the blocks of each band of their fingerprints, with the fingerprint.
 
     key: the place (band and block), and the band's bits from that block on. The bands are the same for every number of
     nodes, so that a pair found in a small table is found in a large one.
@@ -284,9 +302,22 @@ def dealt(nodes: DataFrame) -> DataFrame:
                     by = k * BAND // BLOCKS
                     key = ((x << np.uint64(by)) | (x >> np.uint64(BAND - by))) & np.uint64((1 << BAND) - 1)
                     key |= np.uint64((band * BLOCKS + k) << BAND)
-                    yield pa.record_batch([pa.array(key.view(np.int64)), b.column("id"), b.column("component"), b.column("size"), b.column("fp")], ["key", "id", "component", "size", "fp"])
+                    yield pa.record_batch([pa.array(key.view(np.int64)), *(b.column(c) for c in columns)], ["key", *columns])
+
+    columns = ["id", "component", "size", "slices", "fp"]
+    return nodes.select(*columns).mapInArrow(deal, "key long, id long, component long, size int, slices binary, fp binary")
+
+
+def with_slices(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
+    """nodes with the slice_sizes of their sets, null where shingles (id, shingles) lacks the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            held = [slice_sizes(np.array(h, np.int64)) for h in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(held, pa.binary())], ["id", "slices"])
 
-    return nodes.select("fp", "id", "component", "size").mapInArrow(deal, "key long, id long, component long, size int, fp binary")
+    wanted = shingles.join(nodes.select("id"), "id", "left_semi").select("id", "shingles")
+    return nodes.join(wanted.mapInArrow(run, "id long, slices binary"), "id", "left")
 
 
 def first_place(x: np.ndarray) -> np.ndarray:
@@ -307,16 +338,29 @@ def proposed(dealt: DataFrame, most: int, similarity: float, spanned: bool) -> D
         for t in whole_groups(batches, ["front"], PART_ROWS):
             key, ids, component, size = (t.column(c).to_numpy() for c in ("key", "id", "component", "size"))
             fp = flat_bytes(t.column("fp"))[0].view("<u8").reshape(len(ids), -1)
+            known = t.column("slices").is_valid().to_numpy()
+            slices = np.zeros((len(ids) if known.any() else 0, SLICES), np.uint8)
+            slices[known[: len(slices)]] = flat_bytes(t.column("slices").drop_null())[0].reshape(-1, SLICES)
+
+            def able(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                out = np.ones(len(a), bool)
+                both = np.flatnonzero(known[a] & known[b])  # noqa: B023
+                for k in range(0, len(both), BOUNDED):
+                    at = both[k : k + BOUNDED]
+                    i, j = a[at], b[at]
+                    out[at] = may_be_similar(slices[i], slices[j], size[i].astype(np.int64) + size[j], similarity)  # noqa: B023
+                return out
 
             def near() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
                 for a, b in close_pairs(key.view(np.uint64) << np.uint64(unused), place_bits + BLOCK, ERRORS, place_bits + BAND):  # noqa: B023
                     # Sets of such sizes can be as similar, and the nodes aren't in one component.
-                    able = (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])) & (component[a] != component[b])  # noqa: B023
-                    a, b = a[able], b[able]
+                    open_ = (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])) & (component[a] != component[b])  # noqa: B023
+                    a, b = a[open_], b[open_]
                     x = fp[a] ^ fp[b]  # noqa: B023
                     d = np.bitwise_count(x).sum(1, dtype=np.int64)
                     a, b, d, x = (y[d <= far] for y in (a, b, d, x))
                     here = first_place(x) == key[a] >> BAND  # noqa: B023
+                    here[here] = able(a[here], b[here])  # noqa: B023
                     if here.any():
                         yield a[here], b[here], d[here]
 
@@ -326,7 +370,7 @@ def proposed(dealt: DataFrame, most: int, similarity: float, spanned: bool) -> D
             yield pa.record_batch([pa.array(np.r_[ids[i], ids[others]]), pa.array(np.r_[ids[j], ids[others]], mask=flag), pa.array(flag)], ["id", "other", "more"])
 
     front = F.shiftright("key", BAND - BLOCK).alias("front")
-    rows = dealt.select(front, "key", "id", "component", "size", "fp")
+    rows = dealt.select(front, "key", "id", "component", "size", "slices", "fp")
     return rows.repartition(max(8, partitions(dealt.sparkSession)), "front").sortWithinPartitions("front", "key").mapInArrow(run, "id long, other long, more boolean")
 
 
@@ -346,9 +390,9 @@ def similar_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame],
     def component(df: DataFrame, of: str, name: str) -> DataFrame:
         return df.join(found.toDF(of, name), of, "left").withColumn(name, F.coalesce(name, of))
 
-    active, most, spanned = nodes, CLOSEST, True
+    active, most, spanned = nodes.withColumn("slices", F.lit(None).cast("binary")), CLOSEST, True
     while True:
-        told = stored(proposed(dealt(component(active.select("fp", "id", "size"), "id", "component")), most, similarity, spanned))
+        told = stored(proposed(dealt(component(active.select("fp", "id", "size", "slices"), "id", "component")), most, similarity, spanned))
         pairs = told.filter("not more").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
         ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(shingles.select("id"), "id", "left_anti"))
@@ -369,7 +413,8 @@ def similar_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame],
         again = stored(again)
         if again.isEmpty():
             return found
-        active, most, spanned = nodes.join(again, "id", "left_semi"), FURTHER if spanned else ALL, False
+        active = stored(with_slices(nodes.join(again, "id", "left_semi"), shingles))
+        most, spanned = FURTHER if spanned else ALL, False
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -214,6 +214,29 @@ def test_chosen_pairs_leave_nothing_out():
             assert tree[x] == tree[y] or (more[x] and more[y])
 
 
+def test_slice_sizes_refuse_no_similar_pair():
+    """The bound by slices holds for sets of all sizes, those whose slices hold over 256 hashes too, and refuses pairs well below."""
+    rng = np.random.default_rng(4)
+    refused = []
+    for k in range(1200):
+        n = int(rng.choice([0, 1, 10, 300, 3_000, 100_000] if k % 20 == 0 else [1, 10, 300, 3_000]))
+        h = np.unique(rng.integers(0, 2**64 - 1, n, np.uint64))
+        lo, hi = int(len(h) * rng.uniform(0, 0.2)), int(len(h) * rng.uniform(0.8, 1))
+        a, b = h[lo:], h[:hi]
+        a, b = (rng.permutation(x)[: max(1, len(x))] for x in (a, b))
+        if k % 2:  # spread what differs over all slices
+            mix = rng.permutation(h)
+            a, b = mix[lo:], mix[:hi]
+        shared, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        x, y = (np.frombuffer(simhash.slice_sizes(v), np.uint8)[None] for v in (a, b))
+        able = simhash.may_be_similar(x, y, np.array([len(a) + len(b)]), 0.8)[0]
+        if not union or shared / union >= 0.8:
+            assert able
+        elif n == 300 and shared / union < 0.7:
+            refused.append(not able)
+    assert len(refused) > 20 and np.mean(refused) > 0.9
+
+
 def test_bands_of_every_size():
     """Bands don't overlap, and 98 % of the pairs at 0.8 have a place where they are found, short texts' sets of 100 shingles too."""
     assert simhash.BANDS * simhash.BAND == simhash.WORDS * simhash.BITS and simhash.BITS % simhash.BAND == 0
