@@ -1,4 +1,8 @@
-"""The stand-in corpus, in Spark and in SQL."""
+"""The stand-in corpus and its queries, in Spark and in SQL.
+
+Every document is a chunk, whether it has a vector or not. Every vector whose id is divisible by 20 is a query, with the
+first two words of its own document as terms.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +15,6 @@ from dossier.functions.lexemes import words
 from dossier.functions.numbers import cosine_distance
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Topics and the vector that stands for each of them.
-TOPICS = {0: ["the", "of"], 1: ["de", "la"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,36 +24,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("ticker"), F.col("source").alias("section"), "text")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("period_year"), "embedding")
-    return docs.join(vectors, "chunk_id").withColumns({"filing_type": F.lit("10-K"), "metadata": F.create_map(F.lit("section"), F.col("section"))})
+    year = F.coalesce("period_year", (F.col("chunk_id") % 10).cast("int"))
+    return docs.join(vectors, "chunk_id", "left").withColumns({"period_year": year, "filing_type": F.lit("10-K"), "metadata": F.create_map(F.lit("section"), F.col("section"))})
 
 
-def term_index(chunks: DataFrame) -> DataFrame:
-    """Postings of words that are not stemmed, which SQL can count too."""
-    rows = chunks.select("chunk_id", "ticker", "period_year", F.explode(words(F.col("text"))).alias("term"))
+def term_index(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Postings of the words that are asked for, not stemmed, which SQL can count too; others are not counted or shuffled."""
+    wanted = asked.select(F.explode("terms").alias("term")).distinct()
+    rows = chunks.select("chunk_id", "ticker", "period_year", F.explode(words(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
     return rows.groupBy("chunk_id", "ticker", "period_year", "term").agg(F.count("*").alias("tf")).withColumn("positions", F.array(F.lit(0)))
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q, query_vector, terms."""
-    terms = F.when(F.col("vec_id") == 0, F.array(*map(F.lit, TOPICS[0]))).otherwise(F.array(*map(F.lit, TOPICS[1])))
-    return table(spark, sf_dir, "embeddings").filter("vec_id in (0, 1)").select(F.col("vec_id").alias("q"), F.col("embedding").alias("query_vector"), terms.alias("terms"))
+    """q, query_vector, terms; a vector without a document has no terms and matches no words."""
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("q"), F.slice(words(F.col("text")), 1, 2).alias("terms"))
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("query_vector"))
+    return asked.join(own, "q", "left")
 
 
 def asked_cells(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
-    """A cell for every (ticker, year) of the corpus and topic."""
-    return chunks.select("ticker", "period_year").distinct().crossJoin(F.broadcast(topics(spark, sf_dir)))
+    """A cell for every (ticker, year) of the corpus and query; the pairs of ticker and year are few."""
+    return topics(spark, sf_dir).crossJoin(chunks.select("ticker", "period_year").distinct())
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, ticker, period_year, score, section, text: likeness to vector 0."""
-    chunks = corpus(spark, sf_dir)
-    one = topics(spark, sf_dir).filter("q = 0").select("query_vector")
+    chunks = corpus(spark, sf_dir).filter("embedding is not null")
+    one = table(spark, sf_dir, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("query_vector"))
     return chunks.crossJoin(F.broadcast(one)).withColumn("score", F.round(F.lit(1.0) - cosine_distance(F.col("embedding"), F.col("query_vector")), 6)).drop("embedding", "query_vector")
 
 
-CORPUS_SQL = """corpus as (select doc_id as chunk_id, lang as ticker, source as section, text, label as period_year, embedding::double[] as e from documents join embeddings on doc_id = vec_id),
-topics as (select vec_id as q, embedding::double[] as qe, case when vec_id = 0 then ['the', 'of'] else ['de', 'la'] end as terms from embeddings where vec_id in (0, 1))"""
+CORPUS_SQL = """corpus as (select doc_id as chunk_id, lang as ticker, source as section, text, coalesce(label, doc_id % 10)::integer as period_year, embedding::double[] as e from documents left join embeddings on doc_id = vec_id),
+topics as (select vec_id as q, embedding::double[] as qe, text as own from embeddings left join documents on doc_id = vec_id where vec_id % 20 = 0)"""
 DISTANCE_SQL = "round(1 - list_inner_product(e, qe) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(qe, qe))), 6) + 0.0::double"
 SCORED_SQL = f"""{CORPUS_SQL},
-scored as (select chunk_id, ticker, period_year, section, text, round(1 - (1 - list_inner_product(e, qe) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(qe, qe)))), 6) as score from corpus, topics where q = 0)"""
-TERMS_SQL = """postings as (select chunk_id, ticker, period_year, term, count(*) as tf from (select chunk_id, ticker, period_year, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as term from corpus) where term <> '' group by all)"""
+scored as (select chunk_id, ticker, period_year, section, text, round(1 - (1 - list_inner_product(e, qe) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(qe, qe)))), 6) as score from corpus, topics where q = 0 and e is not null)"""
+TERMS_SQL = """postings as (select chunk_id, ticker, period_year, term, count(*) as tf from (select chunk_id, ticker, period_year, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as term from corpus) where term <> '' group by all),
+asked as (select *, count(*) over (partition by q) as n from (select distinct q, unnest(list_filter(regexp_split_to_array(lower(own), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')[1:2]) as term from topics))"""

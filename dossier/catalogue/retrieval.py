@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.catalogue.base import CORPUS_SQL, DISTANCE_SQL, TERMS_SQL, asked_cells, corpus, table, term_index, topics
-from dossier.functions.lexemes import query_lexemes
+from dossier.functions.lexemes import query_lexemes, words
 from dossier.operators import retrieval as R
-from dossier.operators.selection import rerank
+from dossier.operators.selection import ranked_pairs, rerank
 from dossier.plans.engine import lexeme_index
 
 CELL = ["ticker", "period_year", "q"]
@@ -27,12 +27,13 @@ def vector_topk_per_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_match_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.match_all(topics(spark, sf_dir).drop("query_vector"), term_index(corpus(spark, sf_dir)), ["q"]).select("q", "chunk_id", "score")
+    asked = topics(spark, sf_dir).drop("query_vector")
+    return R.match_all(asked, term_index(corpus(spark, sf_dir), asked), ["q"]).select("q", "chunk_id", "score")
 
 
 def lexical_topk_per_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = corpus(spark, sf_dir)
-    found = R.lexical_rank(asked_cells(spark, sf_dir, chunks), term_index(chunks), 20, CELL)
+    found = R.lexical_rank(asked_cells(spark, sf_dir, chunks), term_index(chunks, topics(spark, sf_dir)), 20, CELL)
     return found.select(*CELL, "chunk_id", "score", F.col("rank").cast("long"))
 
 
@@ -46,13 +47,13 @@ def lexical_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = corpus(spark, sf_dir)
     q = topics(spark, sf_dir)
-    fused = R.fuse(R.vector_rank(q, chunks.drop("ticker", "period_year"), 20, ["q"]), R.lexical_rank(q, term_index(chunks).drop("ticker", "period_year"), 20, ["q"]), 10, 60, ["q"])
+    fused = R.fuse(R.vector_rank(q, chunks.drop("ticker", "period_year"), 20, ["q"]), R.lexical_rank(q, term_index(chunks, q).drop("ticker", "period_year"), 20, ["q"]), 10, 60, ["q"])
     return fused.select("q", "chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long"))
 
 
 def hybrid_cell_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = corpus(spark, sf_dir)
-    found = R.hybrid_search(asked_cells(spark, sf_dir, chunks), chunks, term_index(chunks), CELL)
+    found = R.hybrid_search(asked_cells(spark, sf_dir, chunks), chunks, term_index(chunks, topics(spark, sf_dir)), CELL)
     rows = R.enrich(found.drop("ticker", "period_year").join(chunks.select("chunk_id", "ticker", "period_year"), "chunk_id").select("q", "chunk_id", "score", "rank"), chunks)
     return rows.select(*CELL, "chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long"), "section", F.length("text").cast("long").alias("n_chars"))
 
@@ -77,17 +78,18 @@ def enrich_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hybrid pool of topic 0, scored against a benchmark passage."""
+    """Every benchmark passage as a question: the best 20 chunks with its first two words in each (ticker, year), scored against it."""
     chunks = corpus(spark, sf_dir)
-    asked = asked_cells(spark, sf_dir, chunks).filter("q = 0")
-    pool = R.enrich(R.hybrid_search(asked, chunks, term_index(chunks), CELL).select("q", "chunk_id"), chunks)
-    question = table(spark, sf_dir, "benchmark").filter("item_id = 0").select(F.col("text").alias("question"))
-    return rerank(pool.crossJoin(F.broadcast(question))).select("q", "chunk_id", "rerank_score")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("question"))
+    asked = items.select("q", F.slice(words(F.col("question")), 1, 2).alias("terms"))
+    cells = asked.crossJoin(chunks.select("ticker", "period_year").distinct())
+    found = R.lexical_rank(cells, term_index(chunks, asked), 20, CELL).select("q", "chunk_id")
+    return rerank(R.enrich(found, chunks).join(items, "q")).select("q", "chunk_id", "rerank_score")
 
 
 def ann_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 20 of the inverted-file search against exact search, for every 20th vector."""
-    chunks = corpus(spark, sf_dir).select("chunk_id", "embedding")
+    chunks = corpus(spark, sf_dir).filter("embedding is not null").select("chunk_id", "embedding")
     asked = chunks.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("q"), F.transform("embedding", lambda x: x.cast("double")).alias("query_vector"))
     index, centres = R.ivf_lists(chunks, 16)
     found = R.ivf_search(asked, index, centres, 8, 20, ["q"]).select("q", "chunk_id", F.lit(1).alias("hit"))
@@ -97,22 +99,22 @@ def ann_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pool_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages by (ticker, year), with the rank of each in its pair by length."""
-    rank = F.row_number().over(Window.partitionBy("ticker", "period_year").orderBy(F.desc(F.length("text")), "chunk_id"))
-    return corpus(spark, sf_dir).select("ticker", "period_year", "chunk_id", rank.cast("long").alias("in_pair"))
+    rows = corpus(spark, sf_dir).select("ticker", "period_year", "chunk_id", F.length("text").alias("score"))
+    return ranked_pairs(rows, 2, 8, []).select("ticker", "period_year", "chunk_id", F.col("in_pair").cast("long"))
 
 
 QUERIES = {f.__name__: f for f in (hybrid_cell_search, vector_topk, vector_topk_per_cell, lexical_match_and, lexical_topk_per_cell, lexical_cover_density, rrf_fusion, cells_cross_product, merge_dedup_first, enrich_join, rerank_scores, ann_ivf_recall, pool_by_pair)}
 
-_VEC = "vec as (select * from (select {by}, chunk_id, row_number() over (partition by {by} order by distance, chunk_id) as rank from (select {keys} as q, {extra}chunk_id, " + DISTANCE_SQL + " as distance from corpus, topics)) where rank <= 20)"
-_LEX = "hits as (select {by}, chunk_id, sum(tf) as score from postings, topics where list_contains(terms, term) group by all having count(*) = 2), lex as (select * from (select {by}, chunk_id, row_number() over (partition by {by} order by score desc, chunk_id) as rank from hits) where rank <= 20)"
+_VEC = "vec as (select * from (select {by}, chunk_id, row_number() over (partition by {by} order by distance, chunk_id) as rank from (select {keys} as q, {extra}chunk_id, " + DISTANCE_SQL + " as distance from corpus, topics where e is not null)) where rank <= 20)"
+_LEX = "hits as (select {by}, chunk_id, sum(tf) as score from postings join asked using (term) group by {by}, chunk_id, n having count(*) = n), lex as (select * from (select {by}, chunk_id, row_number() over (partition by {by} order by score desc, chunk_id) as rank from hits) where rank <= 20)"
 _ALL = {"by": "q", "keys": "q", "extra": ""}
 _CELL = {"by": "ticker, period_year, q", "keys": "q", "extra": "ticker, period_year, "}
 
 ORACLE_SQL = {
-    "vector_topk": f"with {CORPUS_SQL}, d as (select q, chunk_id, {DISTANCE_SQL} as distance from corpus, topics) select * from (select q, chunk_id, distance, row_number() over (partition by q order by distance, chunk_id) as rank from d) where rank <= 20",
-    "vector_topk_per_cell": f"with {CORPUS_SQL}, d as (select ticker, period_year, q, chunk_id, {DISTANCE_SQL} as distance from corpus, topics) select * from (select *, row_number() over (partition by ticker, period_year, q order by distance, chunk_id) as rank from d) where rank <= 20",
-    "lexical_match_and": f"with {CORPUS_SQL}, {TERMS_SQL} select q, chunk_id, sum(tf)::bigint as score from postings, topics where list_contains(terms, term) group by all having count(*) = 2",
-    "lexical_topk_per_cell": f"with {CORPUS_SQL}, {TERMS_SQL}, hits as (select ticker, period_year, q, chunk_id, sum(tf)::bigint as score from postings, topics where list_contains(terms, term) group by all having count(*) = 2) select * from (select *, row_number() over (partition by ticker, period_year, q order by score desc, chunk_id) as rank from hits) where rank <= 20",
+    "vector_topk": f"with {CORPUS_SQL}, d as (select q, chunk_id, {DISTANCE_SQL} as distance from corpus, topics where e is not null) select * from (select q, chunk_id, distance, row_number() over (partition by q order by distance, chunk_id) as rank from d) where rank <= 20",
+    "vector_topk_per_cell": f"with {CORPUS_SQL}, d as (select ticker, period_year, q, chunk_id, {DISTANCE_SQL} as distance from corpus, topics where e is not null) select * from (select *, row_number() over (partition by ticker, period_year, q order by distance, chunk_id) as rank from d) where rank <= 20",
+    "lexical_match_and": f"with {CORPUS_SQL}, {TERMS_SQL} select q, chunk_id, sum(tf)::bigint as score from postings join asked using (term) group by q, chunk_id, n having count(*) = n",
+    "lexical_topk_per_cell": f"with {CORPUS_SQL}, {TERMS_SQL}, hits as (select ticker, period_year, q, chunk_id, sum(tf)::bigint as score from postings join asked using (term) group by ticker, period_year, q, chunk_id, n having count(*) = n) select * from (select *, row_number() over (partition by ticker, period_year, q order by score desc, chunk_id) as rank from hits) where rank <= 20",
     "rrf_fusion": f"with {CORPUS_SQL}, {TERMS_SQL}, {_VEC.format(**_ALL)}, {_LEX.format(**_ALL)}, fused as ({FUSED.format(**_ALL)}) select q, chunk_id, round(score, 9) as score, rank from (select *, row_number() over (partition by q order by score desc, chunk_id) as rank from fused) where rank <= 10",
     "hybrid_cell_search": f"with {CORPUS_SQL}, {TERMS_SQL}, {_VEC.format(**_CELL)}, {_LEX.format(**_CELL)}, fused as ({FUSED.format(**_CELL)}), top as (select * from (select *, row_number() over (partition by ticker, period_year, q order by score desc, chunk_id) as rank from fused) where rank <= 10) select ticker, period_year, q, chunk_id, round(score, 9) as score, rank, section, length(text) as n_chars from top join corpus using (chunk_id, ticker, period_year)",
     "cells_cross_product": f"""with {CORPUS_SQL}, t as (select distinct section as request_id, ticker from corpus), y as (select distinct section as request_id, period_year from corpus),

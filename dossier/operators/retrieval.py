@@ -33,11 +33,16 @@ def rank_within(rows: DataFrame, by: list[str], order: list[Column], k: int, nam
 
 
 def vector_rank(asked: DataFrame, chunks: DataFrame, k: int, by: list[str]) -> DataFrame:
-    """asked: by, query_vector and the columns it shares with chunks. The k nearest by cosine distance; chunks without a vector, or with a zero one, stay out."""
+    """asked: by, query_vector and the columns it shares with chunks. The k nearest by cosine distance; chunks without a vector, or with a zero one, stay out.
+
+    Every query meets every chunk of its cell (or all, where they share no column), which is what exact search asks. No
+    side is marked for broadcast: Spark sends the queries to all tasks where they are few, deals both by cell where not, and without
+    cells pairs blocks of the one with blocks of the other. Each task keeps k rows a query before anything moves.
+    """
     shared = [c for c in ("ticker", "period_year") if c in asked.columns]
     have = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", *shared, "embedding", norm(F.col("embedding")).alias("length"))
     q = asked.select(*dict.fromkeys([*by, *shared]), "query_vector", norm(F.col("query_vector")).alias("query_length"))
-    pairs = have.join(F.broadcast(q), shared) if shared else have.crossJoin(F.broadcast(q))
+    pairs = have.join(q, shared) if shared else have.crossJoin(q)
     distance = F.lit(1.0) - F.try_divide(dot(F.col("embedding"), F.col("query_vector")), F.col("length") * F.col("query_length"))
     scored = pairs.select(*by, "chunk_id", F.round(distance, DIGITS).alias("distance")).filter("distance is not null")
     return rank_within(scored, by, [F.col("distance"), F.col("chunk_id")], k)
@@ -56,7 +61,7 @@ def match_all(asked: DataFrame, index: DataFrame, by: list[str]) -> DataFrame:
     """
     shared = [c for c in ("ticker", "period_year") if c in asked.columns and c in index.columns]
     wanted = asked.withColumn("terms", F.array_distinct("terms")).select(*dict.fromkeys([*by, *shared]), F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    hits = index.join(F.broadcast(wanted), [*shared, "term"])
+    hits = index.join(wanted, [*shared, "term"])
     return hits.groupBy(*by, "chunk_id", "n_terms").agg(F.count("*").alias("found"), F.sum("tf").alias("score"), F.collect_list("positions").alias("positions")).filter("found = n_terms").drop("found", "n_terms")
 
 
@@ -120,9 +125,10 @@ def ivf_lists(chunks: DataFrame, lists: int, seed: int = 7) -> tuple[DataFrame,
 def ivf_search(asked: DataFrame, index: DataFrame, centres: list, probes: int, k: int, by: list[str]) -> DataFrame:
     """The k nearest among the chunks of each query's nearest lists."""
     spark = asked.sparkSession
+    # a row for each list, whose number is the index's parameter
     known = spark.createDataFrame([(i, c) for i, c in enumerate(centres)], "list int, centre array<double>")
     near = asked.crossJoin(F.broadcast(known)).withColumn("far", F.aggregate(F.zip_with("query_vector", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     probed = rank_within(near, by, [F.col("far"), F.col("list")], probes, "nth").select(*by, "query_vector", "list")
-    pairs = index.join(F.broadcast(probed), "list")
+    pairs = index.join(probed, "list")
     distance = F.round(F.lit(1.0) - F.try_divide(dot(F.col("embedding"), F.col("query_vector")), norm(F.col("embedding")) * norm(F.col("query_vector"))), DIGITS)
     return rank_within(pairs.select(*by, "chunk_id", distance.alias("distance")), by, [F.col("distance"), F.col("chunk_id")], k)
