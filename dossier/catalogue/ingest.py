@@ -112,9 +112,8 @@ def quota_running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_aware_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of a source in batches of at most 6000 characters, in order of id."""
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.col("n_chars").cast("int").alias("n")))).alias("rows"))
-    numbered = rows.withColumn("batch", folds.batch_numbers(F.transform("rows", lambda r: r["n"]), 6000))
-    return numbered.select(F.explode(F.arrays_zip("rows", "batch")).alias("z")).select("z.rows.doc_id", F.col("z.batch").cast("long").alias("batch"))
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("n_chars").cast("int").alias("n"))
+    return folds.numbered_batches(rows, ["source"], ["doc_id"], "n", 6000).select("doc_id", F.col("batch").cast("long"))
 
 
 def _by_user(spark: SparkSession, sf_dir: str, item: F.Column) -> DataFrame:

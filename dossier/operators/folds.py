@@ -7,8 +7,13 @@ stateful stream in dossier.streaming.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def batch_numbers(counts: Column, most: int) -> Column:
@@ -23,6 +28,33 @@ def batch_numbers(counts: Column, most: int) -> Column:
     return F.aggregate(counts, start, step, lambda s: s["out"])
 
 
+def numbered_batches(rows: DataFrame, by: list[str], order: list[str], tokens: str, most: int) -> DataFrame:
+    """rows with `batch` as batch_numbers() counts it, in order of `order` and tokens within each group of `by`; null tokens count as 0.
+
+    A group is read once in sorted order, and only its running batch and sum are held, so it may be of any length.
+    Each batch's end depends on the one before it, so one task reads a whole group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, batch, used = None, 0, 0
+        for b in batches:
+            keys = zip(*(b.column(c).to_pylist() for c in by), strict=True)
+            out = np.empty(b.num_rows, np.int32)
+            for k, (key, n) in enumerate(zip(keys, b.column(tokens).to_pylist(), strict=True)):
+                n = n or 0
+                if key != group:
+                    group, batch, used = key, 0, n
+                elif used + n > most:
+                    batch, used = batch + 1, n
+                else:
+                    used += n
+                out[k] = batch
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "batch"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
+    return rows.repartition(*by).sortWithinPartitions(*by, *order, tokens).mapInArrow(run, schema)
+
+
 def bucket_waits(requests: Column, capacity: float, rate: float, start_full: bool = True) -> Column:
     """requests: array of struct<at: double, tokens: double> in order. The seconds each waits at a token bucket of the capacity, refilled at rate a second.
 

@@ -175,6 +175,15 @@ def test_batches(spark, counts, most, batches):
     assert spark.createDataFrame([(counts,)], "c array<int>").select(folds.batch_numbers(F.col("c"), most).alias("b")).first()["b"] == batches
 
 
+def test_numbered_batches(spark):
+    cases = {"a": ([2000, 2000], [0, 0]), "b": ([3000, 3000, 3000], [0, 0, 1]), "c": ([9000], [0]), "d": ([1, 9000, 1], [0, 1, 2]), None: ([None, 6000, 1], [0, 0, 1])}
+    rows = [(g, k, n) for g, (counts, _) in cases.items() for k, n in enumerate(counts)]
+    df = spark.createDataFrame(rows, "g string, k int, n int").repartition(3)
+    got = {(r["g"], r["k"]): r["batch"] for r in folds.numbered_batches(df, ["g"], ["k"], "n", 6000).collect()}
+    assert got == {(g, k): b for g, (_, batches) in cases.items() for k, b in enumerate(batches)}
+    assert folds.numbered_batches(df.limit(0), ["g"], ["k"], "n", 6000).count() == 0
+
+
 def test_bucket(spark):
     df = spark.createDataFrame([([(0.0, 10.0), (0.0, 5.0), (100.0, 10.0)],)], "r array<struct<at: double, tokens: double>>")
     assert df.select(folds.bucket_waits(F.col("r"), 10, 1.0).alias("w")).first()["w"] == [0.0, 5.0, 0.0]
