@@ -69,13 +69,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """docs: texts; labels: id and label 0 or 1, of the rows that may be learned from.
 
     The sample is chosen among the labels, the first per_class ids of each by a hash; these few ids alone go to the
-    documents' tasks, so no text is shuffled and only the sample's texts (SAMPLE_CHARS at most) come back.
+    documents' tasks, so no text is shuffled and only the sample's texts (SAMPLE_CHARS at most, the
+    first in order where an id repeats) come back.
     """
     known = pick(labels, doc_id=id_col, label=label_col)
     ids = [known.filter(F.col("label") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     chosen = ids[0].unionAll(ids[1])  # 2 x per_class rows at most
-    rows = pick(docs, doc_id=id_col, text=text_col).filter(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(chosen), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"])
+    rows = pick(docs, doc_id=id_col, text=text_col).filter(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "label"])
     sample = [rows["text"][rows["label"] == y].tolist() for y in (0, 1)]
     bad, good = ([t.encode() for t in own] for own in sample)
     if len(bad) < 2 or len(good) < 2:

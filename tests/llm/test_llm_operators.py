@@ -237,6 +237,16 @@ def test_slice_sizes_refuse_no_similar_pair():
     assert len(refused) > 20 and np.mean(refused) > 0.9
 
 
+def test_quality_sample_of_repeated_ids(spark):
+    """An id that repeats without bound brings one text to the sample."""
+    rng = random.Random(8)
+    texts = [(i, " ".join(rng.choice(["good", "fine", "prose"] if i % 2 else ["bad", "spam", "junk"]) + str(rng.randrange(99)) for _ in range(60))) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    once = quality.fit(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    again = quality.fit(spark.createDataFrame(texts + [(3, "z" + texts[3][1] + str(k)) for k in range(500)], "doc_id long, text string"), labels)
+    assert once == again
+
+
 def test_bands_of_every_size():
     """Bands don't overlap, and 98 % of the pairs at 0.8 have a place where they are found, short texts' sets of 100 shingles too."""
     assert simhash.BANDS * simhash.BAND == simhash.WORDS * simhash.BITS and simhash.BITS % simhash.BAND == 0
