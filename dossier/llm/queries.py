@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import ann, bpe, chat, html, linededup, packing, quality, rules, simhash, suffix
+from dossier.llm import ann, bpe, chat, clusters, html, linededup, packing, quality, rules, simhash, suffix
 from dossier.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -64,15 +64,43 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (pipeline, op1_quality, op2_simhash, op3_nearest, op4_chat, op5_main_text, op6_suffix, op7_bpe, op8_packing, op9_rules, op10_line_dedup)}
+def clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Each round as two common tables: every vector's cluster, then the centroids."""
+    parts = [f"""
+v as materialized (select row_number() over () as i, vec_id, list_transform(embedding::double[], lambda x: floor(256 * x)) as e from embeddings
+  where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dims}),
+c0 as materialized (select row_number() over (order by h, e) - 1 as c, e from (select sha256('2:' || vec_id::varchar) as h, e from v order by h, e limit {k}))"""]
+    distance = "list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c.e) + list_inner_product(c.e, c.e)"
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} as materialized (select i, min({{'d': ({distance})::bigint, 'c': c}}) as m from v, c{r} c group by i)""")
+        if r < rounds:
+            sums = ", ".join(f"sum(v.e[{d}]::bigint)" for d in range(1, dims + 1))
+            parts.append(f"""
+n{r} as materialized (select m.c as c, count(*) as n, [{sums}] as s from a{r} join v using (i) group by m.c),
+c{r + 1} as materialized (select c, case when n is null then e else list_transform(s, lambda x: (x - ((x % n) + n) % n) / n)::double[] end as e from c{r} left join n{r} using (c))""")
+    return f"""
+with {",".join(parts)}
+select vec_id, m.c::integer as cluster, m.d as distance, sum(m.d) over (partition by m.c)::bigint as cluster_inertia, sum(m.d) over ()::bigint as inertia,
+  sha256(array_to_string(list_transform(c{rounds}.e, lambda x: x::bigint), ',')) as centroid_sha256
+from a{rounds} join v using (i) join c{rounds} on c{rounds}.c = m.c"""
+
+
+QUERIES = {f.__name__: f for f in (pipeline, op1_quality, op2_simhash, op3_nearest, op4_chat, op5_main_text, op6_suffix, op7_bpe, op8_packing, op9_rules, op10_line_dedup, op11_clusters)}
 
 ORACLE_SQL = {
+    "op11_clusters": clusters_sql(),
     "op3_nearest": """
 with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(embedding) = 64),
 pairs as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as s from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
