@@ -40,8 +40,8 @@ from dossier.llm.common import partitions, pick, small, stored
 
 #: Every character that ends a piece as one line feed (fixed values of the contract).
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
-SEGMENT = 8 << 20
-PART = 1 << 21
+SEGMENT = 4 << 20
+PART = 1 << 20
 
 Run = tuple[list[bytes], np.ndarray, np.ndarray]
 
@@ -69,15 +69,15 @@ def windows(data: bytes, upto: int, longest: int) -> tuple[Run, int]:
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     n = int(np.searchsorted(begin, upto))
     if not n:
-        return ([], np.zeros((0, longest), np.int64), np.zeros(0, np.int64)), 0
+        return ([], np.zeros((0, longest), np.int32), np.zeros(0, np.int64)), 0
     offsets = np.concatenate([[0], np.cumsum(end - begin)])
     words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(a[inside])]).dictionary_encode()
     order = pc.sort_indices(words.dictionary).to_numpy()
-    place = np.empty(len(order), np.int64)
+    place = np.empty(len(order), np.int32)
     place[order] = np.arange(1, len(order) + 1)
     ids = place[words.indices.to_numpy()]
     piece = np.cumsum(a == 10)[begin]
-    w = np.zeros((n, longest), np.int64)
+    w = np.zeros((n, longest), np.int32)
     for k in range(longest):
         m = min(n, len(ids) - k)
         w[:m, k] = np.where(piece[k : k + m] == piece[:m], ids[k : k + m], 0)
@@ -87,7 +87,7 @@ def windows(data: bytes, upto: int, longest: int) -> tuple[Run, int]:
 def merged(w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of w in order, equal ones summed."""
     width = w.shape[1]
-    keys = [w[:, k] << 32 | (w[:, k + 1] if k + 1 < width else 0) for k in range(0, width, 2)]
+    keys = [w[:, k].astype(np.int64) << 32 | (w[:, k + 1] if k + 1 < width else 0) for k in range(0, width, 2)]
     order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     first = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]) if len(order) else order
@@ -111,7 +111,7 @@ def unpack(block: bytes) -> Run:
     size, n, width, id_bytes, count_bytes = struct.unpack_from("<QQBBB", data)
     at = struct.calcsize("<QQBBB")
     words = data[at : at + size].split(b"\n")
-    ids = np.frombuffer(data, np.dtype(f"u{id_bytes}"), n * width, at + size).reshape(width, n).T.astype(np.int64)
+    ids = np.frombuffer(data, np.dtype(f"u{id_bytes}"), n * width, at + size).reshape(width, n).T.astype(np.int32)
     return words, ids, np.frombuffer(data, np.dtype("u1" if count_bytes == 1 else "i8"), n, at + size + n * width * id_bytes).astype(np.int64)
 
 
@@ -190,13 +190,16 @@ def counted(least: int):
         runs = [unpack(x) for x in blocks]
         every = pa.array([x for words, _, _ in runs for x in words], pa.large_binary()).dictionary_encode()
         order = pc.sort_indices(every.dictionary).to_numpy()
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(1, len(order) + 1)
         codes, at, ids = place[every.indices.to_numpy()], 0, []
         for words, w, _ in runs:
-            ids.append(np.r_[0, codes[at : at + len(words)]][w])
+            ids.append(np.r_[np.int32(0), codes[at : at + len(words)]][w])
             at += len(words)
-        w, n = merged(np.concatenate(ids), np.concatenate([c for _, _, c in runs]))
+        given, counts = np.concatenate(ids), np.concatenate([c for _, _, c in runs])
+        del runs, ids
+        w, n = merged(given, counts)
+        del given, counts
         dictionary = every.dictionary.take(pa.array(order)).cast(pa.large_string()).cast(pa.string())
         new = np.zeros(len(w), bool)
         new[0] = True

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import ann, bpe, chat, clusters, html, linededup, packing, phrases, quality, rules, simhash, suffix
+from dossier.llm import ann, bpe, chat, clusters, html, linededup, packing, phrases, quality, rules, secretscan, simhash, suffix
 from dossier.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -73,6 +73,12 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+    counts = [secretscan.count(F.col("base"), k).alias(f"n_{k}") for k in secretscan.BASE]
+    return found.select("doc_id", *counts, F.sha2(secretscan.named(F.col("base")), 256).alias("base_sha256"), secretscan.named(F.array_sort(F.concat("base", "found"))).alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,7 +107,7 @@ select vec_id, m.c::integer as cluster, m.d as distance, sum(m.d) over (partitio
 from a{rounds} join v using (i) join c{rounds} on c{rounds}.c = m.c"""
 
 
-QUERIES = {f.__name__: f for f in (pipeline, op1_quality, op2_simhash, op3_nearest, op4_chat, op5_main_text, op6_suffix, op7_bpe, op8_packing, op9_rules, op10_line_dedup, op11_clusters, op12_phrases)}
+QUERIES = {f.__name__: f for f in (pipeline, op1_quality, op2_simhash, op3_nearest, op4_chat, op5_main_text, op6_suffix, op7_bpe, op8_packing, op9_rules, op10_line_dedup, op11_clusters, op12_phrases, op13_secrets)}
 
 ORACLE_SQL = {
     "op12_phrases": r"""
@@ -111,8 +117,8 @@ totals as (select lang, sum(len(w))::bigint as n from lists group by lang),
 grams as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as phrase from lists, range(1, 5) t(k) where len(w) >= k),
 f as materialized (select lang, k, phrase, count(*) as f from grams group by all having count(*) >= 30),
 c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1),
-cuts as (select c.*, j, x.f as l, y.f as r, (2000000::hugeint * a // (x.f + y.f))::bigint as score from c, range(1, 4) t(j), f x, f y
-  where j < c.k and x.lang = c.lang and y.lang = c.lang and x.phrase = array_to_string(w[:j], ' ') and y.phrase = array_to_string(w[j + 1 :], ' ')),
+halves as materialized (select c.*, j, array_to_string(w[:j], ' ') as p, array_to_string(w[j + 1 :], ' ') as q from c, range(1, 4) t(j) where j < k),
+cuts as (select h.*, x.f as l, y.f as r, (2000000::hugeint * a // (x.f + y.f))::bigint as score from halves h join f x on x.lang = h.lang and x.phrase = h.p join f y on y.lang = h.lang and y.phrase = h.q),
 lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
 inside as (select distinct c.lang, array_to_string(w[i : i + m - 1], ' ') as phrase, max(a) as most from c, range(2, 4) t(m), range(1, 4) s(i) where m < k and i + m - 1 <= k group by all),
 ranked as (select lowest.*, row_number() over (partition by lowest.lang order by score desc, a desc, lowest.phrase) as rank from lowest
