@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -79,7 +80,7 @@ def windows(data: bytes, upto: int, longest: int) -> tuple[Run, int]:
     piece = np.cumsum(a == 10)[begin]
     w = np.zeros((n, longest), np.int32)
     for k in range(longest):
-        m = min(n, len(ids) - k)
+        m = max(0, min(n, len(ids) - k))
         w[:m, k] = np.where(piece[k : k + m] == piece[:m], ids[k : k + m], 0)
     return (words.dictionary.take(pa.array(order)).to_pylist(), *merged(w, np.ones(n, np.int64))), n
 
@@ -125,27 +126,30 @@ def runs_of(longest: int, step: int):
     names = ["lang", "n_words", "weight", "marks", "run"]
     types = [pa.string(), pa.int64(), pa.float64(), pa.list_(pa.list_(pa.binary())), pa.binary()]
 
-    def flush(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        for lang in list(held):
-            for data, upto in segments(b"\n".join(held.pop(lang)), ahead, SEGMENT):
-                run, n = windows(data, upto, longest)
-                if n:
-                    at = range(min(step, len(run[1])) // 2, len(run[1]), step)
-                    row = [lang, n, len(run[1]) / len(at), [named(run[0], run[1][k]) for k in at], pack(run)]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
+    def flush(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for data, upto in segments(b"\n".join(texts), ahead, SEGMENT):
+            run, n = windows(data, upto, longest)
+            if n:
+                block, size = pack(run), len(run[1])
+                # From a place that differs from run to run, so that marks of short runs spread as those of long ones.
+                at = range(zlib.crc32(block) % min(step, size), size, step)
+                row = [lang, n, size / len(at), [named(run[0], run[1][k]) for k in at], block]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
-        size = 0
+        sizes: dict[str, int] = {}
         for b in small(batches):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 data = text.encode().lower().translate(ENDS)
                 held.setdefault(lang, []).append(data)
-                size += len(data)
-                if size >= SEGMENT:
-                    yield from flush(held)
-                    size = 0
-        yield from flush(held)
+                sizes[lang] = sizes.get(lang, 0) + len(data)
+                # However many langs there are, four segments of text are held at most.
+                for full in [lang] if sizes[lang] >= SEGMENT else list(held) if sum(sizes.values()) >= 4 * SEGMENT else []:
+                    sizes.pop(full)
+                    yield from flush(full, held.pop(full))
+        for lang, texts in held.items():
+            yield from flush(lang, texts)
 
     return run
 
