@@ -377,7 +377,11 @@ def test_settings():
         ("x\nitem 10 : y", ["10"]),
         ("Item1b", ["1B"]),
         ("Item    9C -", ["9C"]),
-        ("Item     9C", []),
+        ("Item     9C", ["9C"]),
+        ("Item" + " " * 50 + "9C", []),
+        ("Item\n\n9C", []),
+        ("Item 8.\u2014 Statements", ["8"]),
+        ("Item 16. Summary", []),
         ("Line-item 1.", []),
         ("subitem 1", []),
         ("Item 123", []),
@@ -388,13 +392,22 @@ def test_settings():
     ],
 )
 def test_item_headings(text, found):
-    from dossier.operators.sections import ITEM
+    from dossier.operators.sections import outline_of
 
-    assert [m["label"].upper() for m in ITEM.finditer(text)] == found
+    assert [h["item"] for h in outline_of(text)] == found
 
 
-@pytest.mark.parametrize(("text", "found"), [("PART I", ["I"]), ("part\xa0iv.", ["IV"]), ("Part III, Item 1", ["III"]), ("Part IIII", []), ("counterpart I", []), ("Part Ia", []), ("PartII", []), ("Part II-x", ["II"])])
-def test_part_headings(text, found):
-    from dossier.operators.sections import PART
+@pytest.mark.parametrize(("text", "part"), [("PART II", "II"), ("part\xa0iv.", "IV"), ("Part III, ", "III"), ("Part IIII", "I"), ("counterpart II", "I"), ("Part IIa", "I"), ("PartII", "I"), ("Part\nII", "II"), ("Part\n\nII", "I"), ("Part" + " " * 50 + "II", "I"), ("PART II \u2014", "II")])
+def test_part_headings(text, part):
+    from dossier.operators.sections import outline_of
 
-    assert [m["label"].upper() for m in PART.finditer(text)] == found
+    assert [h["part"] for h in outline_of(f"{text}\nItem 1.")] == [part]
+
+
+def test_headings_keep_their_places():
+    from dossier.operators.sections import outline_of
+
+    text = "\u0130\u017f part i\nitem 1. x\npart ii item 1a \u2013 y item7: z ITEM\xa099."
+    found = outline_of(text)
+    assert [(h["part"], h["item"]) for h in found] == [("I", "1"), ("II", "1A"), ("II", "7")]
+    assert [text[h["at"] :].split(None, 2)[0] for h in found] == ["item", "item", "item7:"]
