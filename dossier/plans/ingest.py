@@ -14,6 +14,7 @@ from dossier.operators.chunking import Packer, chunk_sections, number_chunks
 from dossier.operators.embedding import Embedder, embed_documents, hashed_embedder
 from dossier.operators.merges import Table, check_models, outcomes, upsert_chunks, upsert_filings
 from dossier.operators.sections import detect
+from dossier.plans.settle import settle
 from dossier.sources.submissions import list_filings
 
 
@@ -50,7 +51,7 @@ class Ingest:
         return Packer(s.chunk_target, s.chunk_overlap, s.chunk_max)
 
     def reap(self, now: Column | None = None) -> None:
-        self.jobs.replace(ledger.reap(self.jobs.read(), F.current_timestamp() if now is None else now))
+        self.jobs.update(lambda jobs: ledger.reap(jobs, F.current_timestamp() if now is None else now))
 
     def run_batch(self, blobs: DataFrame, limit: int, now: Column | None = None) -> dict[str, int]:
         """Claim, start, parse, embed and merge up to limit filings at once; claimed, processed and failed.
@@ -62,17 +63,23 @@ class Ingest:
         filings, jobs = self.filings.read(), self.jobs.read()
         claimed = ledger.claim(filings, jobs, now, limit, s.max_attempts, s.backoff_base_s, s.backoff_max_s).select("filing_id", "filing_type", "r2_key", "primary_doc_url")
         started = ledger.start(claimed, jobs, now, s.max_attempts)
-        new = parse_documents(claimed, blobs.filter("body is not null"), self._packer(), self.embedder, self.model)
+        # Settled, as a merge that meets another writer's is made again.
+        new = settle(parse_documents(claimed, blobs.filter("body is not null"), self._packer(), self.embedder, self.model))
         check_models(new, self.chunks.read())
-        self.chunks.replace(upsert_chunks(self.chunks.read(), new))
+        self.chunks.update(lambda chunks: upsert_chunks(chunks, new))
         done = self.chunks.read().select("filing_id").distinct().withColumn("has", F.lit(True))
         state = started.join(claimed.join(blobs.select("r2_key", F.lit(True).alias("landed")), "r2_key", "left").join(done, "filing_id", "left").select("filing_id", "landed", "has", "primary_doc_url"), "filing_id")
         error = F.when(F.col("has"), F.lit(None)).when(F.col("primary_doc_url").isNull(), "no document url").when(F.col("landed").isNull(), "no document").otherwise("no chunks")
         step = F.when(F.col("has"), "upsert").when(F.col("landed").isNull(), "download").otherwise("chunk")
         ended = state.withColumns({"error": error, "step": step}).withColumns({"status": F.when(F.col("error").isNull(), "done").otherwise("failed"), "completed_at": now})
-        self.jobs.replace(jobs.unionByName(ended.select(jobs.columns)))
-        ledger_now = ledger.statuses(filings, self.jobs.read(), s.max_attempts).select("filing_id", F.col("status").alias("now"))
-        self.filings.replace(filings.join(ledger_now, "filing_id").withColumn("status", F.col("now")).drop("now"))
+        ended = settle(ended.select(jobs.columns))
+        self.jobs.update(lambda rows: rows.unionByName(ended))
+
+        def with_status(rows: DataFrame) -> DataFrame:
+            now = ledger.statuses(rows, self.jobs.read(), s.max_attempts).select("filing_id", F.col("status").alias("now"))
+            return rows.join(now, "filing_id").withColumn("status", F.col("now")).drop("now")
+
+        self.filings.update(with_status)
         report = self.jobs.read().join(started.select("job_id"), "job_id", "left_semi").agg(F.count("*").alias("claimed"), F.count_if(F.col("status") == "done").alias("processed"), F.count_if(F.col("status") == "failed").alias("failed")).first()
         return report.asDict()
 

@@ -21,13 +21,13 @@ LANDED = "doc_id string, form_type string, html string"
 def ingest_stream(spark: SparkSession, folder: str, chunks: Table, checkpoint: str, model: str = "hashed-64", embedder: Embedder | None = None, packer: Packer | None = None, schema: str = LANDED) -> StreamingQuery:
     """Documents that land as Parquet in folder are chunked, embedded and merged once each; ends when all there is has been read.
 
-    Each micro-batch writes its own version of the table, so that a batch which is tried again after a failure changes nothing twice.
+    Each micro-batch commits one version of the table with its id, so that a batch which is tried again after a failure changes nothing twice.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         numbered = embed_documents(number_chunks(chunk_sections(detect(batch), packer)), embedder or hashed_embedder(), model)
         rows = numbered.select(F.sha2(F.concat_ws("/", "doc_id", F.col("chunk_index").cast("string")), 256).alias("chunk_id"), F.col("doc_id").alias("filing_id"), "chunk_index", "section", "text", "embedding", "embedding_model_version", "token_count", F.current_timestamp().alias("created_at"), "section_order", "metadata")
-        chunks.replace(upsert_chunks(chunks.read(), rows), f"batch-{batch_id}")
+        chunks.update(lambda now: upsert_chunks(now, rows), f"{checkpoint}-{batch_id}")
 
     docs = spark.readStream.schema(schema).parquet(folder)
     return docs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -287,9 +287,48 @@ def test_table_versions(spark, tmp_path):
     t = merges.Table(spark, str(tmp_path / "t"), "a int, b string")
     assert t.read().count() == 0
     t.replace(spark.createDataFrame([(1, "x")], "a int, b string"))
-    t.replace(t.read().withColumn("a", F.col("a") + 1), "batch-0")
-    t.replace(spark.createDataFrame([("y", 5)], "b string, a int"), "batch-0")
-    assert [tuple(r) for r in t.read().collect()] == [(5, "y")]
+    assert t.replace(t.read().withColumn("a", F.col("a") + 1), "batch-0") == 2
+    # The same batch again changes nothing, and makes no version.
+    assert t.replace(spark.createDataFrame([("y", 5)], "b string, a int"), "batch-0") == 2
+    assert t.update(lambda now: now.withColumn("a", F.col("a") + 1), "batch-0") == 2
+    assert [tuple(r) for r in t.read().collect()] == [(2, "x")]
+    assert t.update(lambda now: now.withColumn("a", F.col("a") * 10)) == 3
+    assert t.vacuum(1) == 2 and t.commits() == [3] and [tuple(r) for r in t.read().collect()] == [(20, "x")]
+    assert t.update(lambda now: now, "batch-0") == 3
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """One writer commits while the other merges: the later one is told, and merges again."""
+    one, two = (merges.Table(spark, str(tmp_path / "t"), "k int, v string") for _ in range(2))
+    given = lambda *rows: spark.createDataFrame(rows, "k int, v string")
+    put = lambda rows: lambda now: merges.upsert(now, rows, ["k"], ["v"])
+    one.replace(given((1, "a"), (2, "a")))
+    calls = []
+
+    def slow(now):
+        if not calls:
+            two.update(put(given((2, "two"), (3, "two"))), "two-0")
+        calls.append(1)
+        return put(given((1, "one"), (4, "one")))(now)
+
+    assert one.update(slow, "one-0") == 3 and len(calls) == 2
+    assert sorted(map(tuple, two.read().collect())) == [(1, "one"), (2, "two"), (3, "two"), (4, "one")]
+    with pytest.raises(merges.Conflict):
+        two.replace(given((9, "late")), base=2)
+    assert one.commits() == [1, 2, 3] and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 3
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(i):
+        table = merges.Table(spark, str(tmp_path / "t"), "k int, v string")
+        return table.update(lambda now: now.unionByName(spark.createDataFrame([(i, "x")], "k int, v string")), f"w-{i}")
+
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(write, range(6)))
+    assert sorted(numbers) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r["k"] for r in merges.Table(spark, str(tmp_path / "t"), "k int, v string").read().collect()) == list(range(6))
 
 
 def test_lexemes():
