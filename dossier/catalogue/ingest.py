@@ -116,27 +116,20 @@ def token_aware_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.numbered_batches(rows, ["source"], ["doc_id"], "n", 6000).select("doc_id", F.col("batch").cast("long"))
 
 
-def _by_user(spark: SparkSession, sf_dir: str, item: F.Column) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", item.alias("item")).alias("r"))
-    return rows.groupBy("user_id").agg(F.array_sort(F.collect_list("r")).alias("rows")).withColumn("items", F.transform("rows", lambda r: r["item"]))
-
-
 SECONDS = "unix_micros(cast(ts as timestamp)) / 1000000"
 
 
 def token_bucket_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as requests of their value in tokens, at a bucket of 1000 that fills in a day."""
-    item = F.struct(F.floor(F.expr(SECONDS)).cast("double").alias("at"), F.floor(F.col("value") * 2).cast("double").alias("tokens"))
-    held = _by_user(spark, sf_dir, item).withColumn("wait", folds.bucket_waits(F.col("items"), 1000.0, 1 / 1024, start_full=False))
-    return held.select(F.explode(F.arrays_zip("rows", "wait")).alias("z")).select("z.rows.event_id", F.round("z.wait", 3).alias("wait"))
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.floor(F.expr(SECONDS)).cast("double").alias("at"), F.floor(F.col("value") * 2).cast("double").alias("tokens"))
+    return folds.waits(rows, ["user_id"], ["ts", "event_id"], "at", "tokens", 1000.0, 1 / 1024, start_full=False).select("event_id", F.round("wait", 3).alias("wait"))
 
 
 def breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as outcomes: errors and views are hard failures, clicks soft ones."""
     outcome = F.when(F.col("event_type") == "error", "hard").when(F.col("event_type") == "view", "hard_midstream").when(F.col("event_type") == "click", "soft").otherwise("ok")
-    item = F.struct(F.floor(F.expr(SECONDS)).cast("double").alias("at"), outcome.alias("outcome"))
-    held = _by_user(spark, sf_dir, item).withColumn("states", folds.breaker_states(F.col("items"), 3, 43200.0))
-    return held.select(F.explode(F.arrays_zip("rows", "states")).alias("z")).select("z.rows.event_id", "z.states.state", "z.states.served")
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.floor(F.expr(SECONDS)).cast("double").alias("at"), outcome.alias("outcome"))
+    return folds.replay(rows, ["user_id"], ["ts", "event_id"], "at", "outcome", 3, 43200.0).select("event_id", "state", "served")
 
 
 def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:

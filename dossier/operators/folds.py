@@ -1,19 +1,16 @@
 """Folds over an order: batches, paces, quotas, breakers.
 
-Each is a fold of an ordered array within a group, as an aggregate expression, so that a group is one row; groups
-run in parallel. Groups are services or documents, whose sequences are short; long ones are better served by the
-stateful stream in dossier.streaming.
+Over tables they are segmented scans (dossier.operators.scans), for groups of any length. Over a short array within a
+row, batch_numbers(), bucket_waits() and breaker_states() are aggregate expressions; streams without end have state
+in dossier.streaming.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from dossier.operators.scans import Batches, Breaker, Bucket, Quota, scan
 
 
 def batch_numbers(counts: Column, most: int) -> Column:
@@ -29,30 +26,18 @@ def batch_numbers(counts: Column, most: int) -> Column:
 
 
 def numbered_batches(rows: DataFrame, by: list[str], order: list[str], tokens: str, most: int) -> DataFrame:
-    """rows with `batch` as batch_numbers() counts it, in order of `order` and tokens within each group of `by`; null tokens count as 0.
+    """rows with `batch` as batch_numbers() counts it, in order of `order` and tokens within each group of `by`, of any length; null tokens count as 0."""
+    return scan(rows, by, order, Batches(tokens, most))
+
+
+def waits(requests: DataFrame, by: list[str], order: list[str], at: str, tokens: str, capacity: float, rate: float, start_full: bool = True) -> DataFrame:
+    """requests with `wait` as bucket_waits() finds it, within each group of `by`, of any length."""
+    return scan(requests, by, order, Bucket(at, tokens, capacity, rate, start_full))
 
-    A group is read once in sorted order, and only its running batch and sum are held, so it may be of any length.
-    Each batch's end depends on the one before it, so one task reads a whole group.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, batch, used = None, 0, 0
-        for b in batches:
-            keys = zip(*(b.column(c).to_pylist() for c in by), strict=True)
-            out = np.empty(b.num_rows, np.int32)
-            for k, (key, n) in enumerate(zip(keys, b.column(tokens).to_pylist(), strict=True)):
-                n = n or 0
-                if key != group:
-                    group, batch, used = key, 0, n
-                elif used + n > most:
-                    batch, used = batch + 1, n
-                else:
-                    used += n
-                out[k] = batch
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "batch"])
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])
-    return rows.repartition(*by).sortWithinPartitions(*by, *order, tokens).mapInArrow(run, schema)
+def replay(outcomes: DataFrame, by: list[str], order: list[str], at: str, outcome: str, threshold: int = 3, reset_s: float = 30.0) -> DataFrame:
+    """outcomes with `state` and `served` as breaker_states() finds them, within each group of `by`, of any length."""
+    return scan(outcomes, by, order, Breaker(at, outcome, threshold, reset_s))
 
 
 def bucket_waits(requests: Column, capacity: float, rate: float, start_full: bool = True) -> Column:
@@ -103,5 +88,4 @@ def is_hard(status: Column, kind: Column) -> Column:
 
 def running_quota(rows: DataFrame, tokens: str, order: list[str], grant: int, by: list[str] | None = None) -> DataFrame:
     """rows with the tokens used so far and whether they have reached 80 % of the grant."""
-    used = F.sum(tokens).over(Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used", used.cast("bigint")).withColumn("exceeded", F.col("used") >= F.lit(int(0.8 * grant)))
+    return scan(rows, by or [], order, Quota(tokens, int(0.8 * grant)))
