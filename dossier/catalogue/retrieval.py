@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,9 @@ from dossier.catalogue.base import CORPUS_SQL, DISTANCE_SQL, TERMS_SQL, asked_ce
 from dossier.functions.lexemes import query_lexemes, words
 from dossier.operators import retrieval as R
 from dossier.operators.selection import ranked_pairs, rerank
+from dossier.operators.vectorindex import VectorIndex
 from dossier.plans.engine import lexeme_index
+from dossier.plans.settle import shared_folder
 
 CELL = ["ticker", "period_year", "q"]
 FUSED = "select {by}, chunk_id, sum(1.0::double / (60 + rank)) as score from (select {by}, chunk_id, rank from vec union all select {by}, chunk_id, rank from lex) group by all"
@@ -97,21 +101,49 @@ def ann_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.join(found, ["q", "chunk_id"], "left").groupBy("q").agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
+def _vector_index(spark: SparkSession, sf_dir: str) -> tuple[VectorIndex, DataFrame]:
+    """An index of all vectors, half of them built at first and half inserted; and every 20th vector as a query."""
+    chunks = corpus(spark, sf_dir)
+    half = F.pmod(F.xxhash64("chunk_id"), F.lit(2))
+    index = VectorIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", most=100_000)
+    index.build(chunks.filter(half == 0), 16)
+    index.insert(chunks.filter(half == 1), "second")
+    return index, topics(spark, sf_dir).select("q", "query_vector")
+
+
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index, with the probes that it chose, finds nine tenths of the exact neighbours of all queries."""
+    index, asked = _vector_index(spark, sf_dir)
+    exact = R.vector_rank(asked, corpus(spark, sf_dir).drop("ticker", "period_year"), 20, ["q"]).select("q", "chunk_id")
+    found = index.search(asked, 20, ["q"]).select("q", "chunk_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["q", "chunk_id"], "left").agg(F.countDistinct("q").alias("queries"), F.count("*").alias("pairs"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_met"))
+
+
+def vector_index_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lists of the index probed, which is exact search."""
+    index, asked = _vector_index(spark, sf_dir)
+    return index.search(asked, 20, ["q"], probes=0).select("q", "chunk_id", "distance", F.col("rank").cast("long"))
+
+
 def pool_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages by (ticker, year), with the rank of each in its pair by length."""
     rows = corpus(spark, sf_dir).select("ticker", "period_year", "chunk_id", F.length("text").alias("score"))
     return ranked_pairs(rows, 2, 8, []).select("ticker", "period_year", "chunk_id", F.col("in_pair").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_cell_search, vector_topk, vector_topk_per_cell, lexical_match_and, lexical_topk_per_cell, lexical_cover_density, rrf_fusion, cells_cross_product, merge_dedup_first, enrich_join, rerank_scores, ann_ivf_recall, pool_by_pair)}
+QUERIES = {f.__name__: f for f in (hybrid_cell_search, vector_topk, vector_topk_per_cell, lexical_match_and, lexical_topk_per_cell, lexical_cover_density, rrf_fusion, cells_cross_product, merge_dedup_first, enrich_join, rerank_scores, ann_ivf_recall, vector_index_recall, vector_index_full, pool_by_pair)}
 
 _VEC = "vec as (select * from (select {by}, chunk_id, row_number() over (partition by {by} order by distance, chunk_id) as rank from (select {keys} as q, {extra}chunk_id, " + DISTANCE_SQL + " as distance from corpus, topics where e is not null)) where rank <= 20)"
 _LEX = "hits as (select {by}, chunk_id, sum(tf) as score from postings join asked using (term) group by {by}, chunk_id, n having count(*) = n), lex as (select * from (select {by}, chunk_id, row_number() over (partition by {by} order by score desc, chunk_id) as rank from hits) where rank <= 20)"
 _ALL = {"by": "q", "keys": "q", "extra": ""}
 _CELL = {"by": "ticker, period_year, q", "keys": "q", "extra": "ticker, period_year, "}
 
+_TOPK = f"with {CORPUS_SQL}, d as (select q, chunk_id, {DISTANCE_SQL} as distance from corpus, topics where e is not null) select * from (select q, chunk_id, distance, row_number() over (partition by q order by distance, chunk_id) as rank from d) where rank <= 20"
+
 ORACLE_SQL = {
-    "vector_topk": f"with {CORPUS_SQL}, d as (select q, chunk_id, {DISTANCE_SQL} as distance from corpus, topics where e is not null) select * from (select q, chunk_id, distance, row_number() over (partition by q order by distance, chunk_id) as rank from d) where rank <= 20",
+    "vector_index_full": _TOPK,
+    "vector_index_recall": f"select count(distinct q) as queries, count(*) as pairs, true as recall_met from ({_TOPK})",
+    "vector_topk": _TOPK,
     "vector_topk_per_cell": f"with {CORPUS_SQL}, d as (select ticker, period_year, q, chunk_id, {DISTANCE_SQL} as distance from corpus, topics where e is not null) select * from (select *, row_number() over (partition by ticker, period_year, q order by distance, chunk_id) as rank from d) where rank <= 20",
     "lexical_match_and": f"with {CORPUS_SQL}, {TERMS_SQL} select q, chunk_id, sum(tf)::bigint as score from postings join asked using (term) group by q, chunk_id, n having count(*) = n",
     "lexical_topk_per_cell": f"with {CORPUS_SQL}, {TERMS_SQL}, hits as (select ticker, period_year, q, chunk_id, sum(tf)::bigint as score from postings join asked using (term) group by ticker, period_year, q, chunk_id, n having count(*) = n) select * from (select *, row_number() over (partition by ticker, period_year, q order by score desc, chunk_id) as rank from hits) where rank <= 20",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from dossier import schemas
 from dossier.operators.embedding import embed_documents, hashed_embedder
 from dossier.operators.merges import Table
+from dossier.operators.vectorindex import VectorIndex
 from dossier.plans.engine import Engine, lexeme_index
 from dossier.plans.ingest import Ingest, discover
 from dossier.sources import submissions
@@ -51,6 +53,15 @@ def test_ask(spark, engine):
     assert json.loads(own("1")[-1]["data"])["token_count"] == len(own("1")) - 3
 
 
+def test_ask_with_a_stored_vector_index(spark, engine, tmp_path):
+    index = VectorIndex(spark, str(tmp_path / "vectors"))
+    index.build(engine.chunks, 3)
+    asked = spark.createDataFrame([("1", "Compare Apple and Microsoft revenue in 2023")], "request_id string, question string")
+    events = [tuple(r) for r in replace(engine, vectors=index).ask(asked).collect()]
+    # With so few chunks a cell, the index finds what exact search finds.
+    assert sorted(events) == sorted(tuple(r) for r in engine.ask(asked).collect())
+
+
 def test_discover(spark):
     block = {"form": ["10-K"], "filingDate": ["2024-02-01"], "reportDate": ["2023-12-31"], "accessionNumber": ["0000000001-24-000001"], "primaryDocument": ["a.htm"]}
     subs = spark.createDataFrame([("0000000001", {"recent": block, "files": []})], submissions.SUBMISSIONS)
