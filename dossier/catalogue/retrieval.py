@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from dossier.catalogue.base import CORPUS_SQL, DISTANCE_SQL, TERMS_SQL, asked_cells, corpus, table, term_index, topics
 from dossier.functions.lexemes import query_lexemes, words
 from dossier.operators import retrieval as R
+from dossier.operators.postingindex import PostingIndex
 from dossier.operators.selection import ranked_pairs, rerank
 from dossier.operators.vectorindex import VectorIndex
 from dossier.plans.engine import lexeme_index
-from dossier.plans.settle import shared_folder
+from dossier.plans.settle import shared_folder, store
 
 CELL = ["ticker", "period_year", "q"]
 FUSED = "select {by}, chunk_id, sum(1.0::double / (60 + rank)) as score from (select {by}, chunk_id, rank from vec union all select {by}, chunk_id, rank from lex) group by all"
@@ -125,13 +126,36 @@ def vector_index_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(asked, 20, ["q"], probes=0).select("q", "chunk_id", "distance", F.col("rank").cast("long"))
 
 
+def _posting_index(spark: SparkSession, sf_dir: str) -> PostingIndex:
+    """Postings of all words of all documents, stored in two inserts."""
+    rows = store(R.postings(corpus(spark, sf_dir), words(F.coalesce("text", F.lit(""))), ["ticker", "period_year"]))
+    index = PostingIndex(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}", buckets=8)
+    for part in range(2):
+        index.insert(rows.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == part), f"part-{part}")
+    return index
+
+
+def postings_topk_per_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lexical_topk_per_cell from stored postings."""
+    asked = asked_cells(spark, sf_dir, corpus(spark, sf_dir)).drop("query_vector").filter("terms is not null")
+    return _posting_index(spark, sf_dir).search(asked, 20, CELL).select(*CELL, "chunk_id", "score", F.col("rank").cast("long"))
+
+
+def postings_cover_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best chunks of every query by cover density, from stored postings; ranks by scores to nine digits."""
+    asked = topics(spark, sf_dir).select("q", "terms").filter("terms is not null")
+    found = _posting_index(spark, sf_dir).search(asked, 20, ["q"], cover=True)
+    # Covers are summed in another order elsewhere: the last chunk's score is compared, not which of equal ones it is.
+    return found.groupBy("q").agg(F.count("*").alias("n"), F.round(F.max("score"), 9).alias("best"), F.round(F.min("score"), 9).alias("last"), F.round(F.sum("score"), 6).alias("total"))
+
+
 def pool_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages by (ticker, year), with the rank of each in its pair by length."""
     rows = corpus(spark, sf_dir).select("ticker", "period_year", "chunk_id", F.length("text").alias("score"))
     return ranked_pairs(rows, 2, 8, []).select("ticker", "period_year", "chunk_id", F.col("in_pair").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_cell_search, vector_topk, vector_topk_per_cell, lexical_match_and, lexical_topk_per_cell, lexical_cover_density, rrf_fusion, cells_cross_product, merge_dedup_first, enrich_join, rerank_scores, ann_ivf_recall, vector_index_recall, vector_index_full, pool_by_pair)}
+QUERIES = {f.__name__: f for f in (hybrid_cell_search, vector_topk, vector_topk_per_cell, lexical_match_and, lexical_topk_per_cell, lexical_cover_density, rrf_fusion, cells_cross_product, merge_dedup_first, enrich_join, rerank_scores, ann_ivf_recall, vector_index_recall, vector_index_full, postings_topk_per_cell, postings_cover_topk, pool_by_pair)}
 
 _VEC = "vec as (select * from (select {by}, chunk_id, row_number() over (partition by {by} order by distance, chunk_id) as rank from (select {keys} as q, {extra}chunk_id, " + DISTANCE_SQL + " as distance from corpus, topics where e is not null)) where rank <= 20)"
 _LEX = "hits as (select {by}, chunk_id, sum(tf) as score from postings join asked using (term) group by {by}, chunk_id, n having count(*) = n), lex as (select * from (select {by}, chunk_id, row_number() over (partition by {by} order by score desc, chunk_id) as rank from hits) where rank <= 20)"
@@ -140,13 +164,28 @@ _CELL = {"by": "ticker, period_year, q", "keys": "q", "extra": "ticker, period_y
 
 _TOPK = f"with {CORPUS_SQL}, d as (select q, chunk_id, {DISTANCE_SQL} as distance from corpus, topics where e is not null) select * from (select q, chunk_id, distance, row_number() over (partition by q order by distance, chunk_id) as rank from d) where rank <= 20"
 
+_LEXICAL = f"with {CORPUS_SQL}, {TERMS_SQL}, hits as (select ticker, period_year, q, chunk_id, sum(tf)::bigint as score from postings join asked using (term) group by ticker, period_year, q, chunk_id, n having count(*) = n) select * from (select *, row_number() over (partition by ticker, period_year, q order by score desc, chunk_id) as rank from hits) where rank <= 20"
+# A stretch is a cover where its first place is later than that of the one before; at most two terms are asked.
+_COVER = f"""with {CORPUS_SQL}, {TERMS_SQL},
+listed as (select chunk_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') as ws from corpus),
+placed as (select chunk_id, unnest(ws) as term, generate_subscripts(ws, 1) as pos from listed),
+numbered as (select q, term, n, row_number() over (partition by q order by term) as k from asked),
+events as (select q, n, chunk_id, k, pos from placed join numbered using (term)),
+begun as (select *, case when n = 1 then pos else nullif(least(coalesce(max(pos) filter (k = 1) over w, 0), coalesce(max(pos) filter (k = 2) over w, 0)), 0) end as b from events window w as (partition by q, chunk_id order by pos)),
+covers as (select *, b > coalesce(lag(b) over (partition by q, chunk_id order by pos), 0) as is_new from begun),
+scores as (select q, chunk_id, sum(case when is_new then 0.1::double / (1 + greatest(0, pos - b - (n - 1))) else 0 end) as score from covers group by q, chunk_id, n having count(distinct k) = n),
+ranked as (select *, row_number() over (partition by q order by score desc, chunk_id) as r from scores)
+select q, count(*) as n, round(max(score), 9) as best, round(min(score), 9) as last, round(sum(score), 6) as total from ranked where r <= 20 group by q"""
+
 ORACLE_SQL = {
     "vector_index_full": _TOPK,
     "vector_index_recall": f"select count(distinct q) as queries, count(*) as pairs, true as recall_met from ({_TOPK})",
     "vector_topk": _TOPK,
     "vector_topk_per_cell": f"with {CORPUS_SQL}, d as (select ticker, period_year, q, chunk_id, {DISTANCE_SQL} as distance from corpus, topics where e is not null) select * from (select *, row_number() over (partition by ticker, period_year, q order by distance, chunk_id) as rank from d) where rank <= 20",
     "lexical_match_and": f"with {CORPUS_SQL}, {TERMS_SQL} select q, chunk_id, sum(tf)::bigint as score from postings join asked using (term) group by q, chunk_id, n having count(*) = n",
-    "lexical_topk_per_cell": f"with {CORPUS_SQL}, {TERMS_SQL}, hits as (select ticker, period_year, q, chunk_id, sum(tf)::bigint as score from postings join asked using (term) group by ticker, period_year, q, chunk_id, n having count(*) = n) select * from (select *, row_number() over (partition by ticker, period_year, q order by score desc, chunk_id) as rank from hits) where rank <= 20",
+    "lexical_topk_per_cell": _LEXICAL,
+    "postings_topk_per_cell": _LEXICAL,
+    "postings_cover_topk": _COVER,
     "rrf_fusion": f"with {CORPUS_SQL}, {TERMS_SQL}, {_VEC.format(**_ALL)}, {_LEX.format(**_ALL)}, fused as ({FUSED.format(**_ALL)}) select q, chunk_id, round(score, 9) as score, rank from (select *, row_number() over (partition by q order by score desc, chunk_id) as rank from fused) where rank <= 10",
     "hybrid_cell_search": f"with {CORPUS_SQL}, {TERMS_SQL}, {_VEC.format(**_CELL)}, {_LEX.format(**_CELL)}, fused as ({FUSED.format(**_CELL)}), top as (select * from (select *, row_number() over (partition by ticker, period_year, q order by score desc, chunk_id) as rank from fused) where rank <= 10) select ticker, period_year, q, chunk_id, round(score, 9) as score, rank, section, length(text) as n_chars from top join corpus using (chunk_id, ticker, period_year)",
     "cells_cross_product": f"""with {CORPUS_SQL}, t as (select distinct section as request_id, ticker from corpus), y as (select distinct section as request_id, period_year from corpus),

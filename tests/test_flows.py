@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dossier import schemas
 from dossier.operators.embedding import embed_documents, hashed_embedder
 from dossier.operators.merges import Table
+from dossier.operators.postingindex import PostingIndex
 from dossier.operators.vectorindex import VectorIndex
 from dossier.plans.engine import Engine, lexeme_index
 from dossier.plans.ingest import Ingest, discover
@@ -53,11 +54,12 @@ def test_ask(spark, engine):
     assert json.loads(own("1")[-1]["data"])["token_count"] == len(own("1")) - 3
 
 
-def test_ask_with_a_stored_vector_index(spark, engine, tmp_path):
-    index = VectorIndex(spark, str(tmp_path / "vectors"))
-    index.build(engine.chunks, 3)
+def test_ask_with_stored_indexes(spark, engine, tmp_path):
+    vectors, postings = VectorIndex(spark, str(tmp_path / "vectors")), PostingIndex(spark, str(tmp_path / "postings"), buckets=4)
+    vectors.build(engine.chunks, 3)
+    postings.insert(engine.index, "all")
     asked = spark.createDataFrame([("1", "Compare Apple and Microsoft revenue in 2023")], "request_id string, question string")
-    events = [tuple(r) for r in replace(engine, vectors=index).ask(asked).collect()]
+    events = [tuple(r) for r in replace(engine, vectors=vectors, postings=postings).ask(asked).collect()]
     # With so few chunks a cell, the index finds what exact search finds.
     assert sorted(events) == sorted(tuple(r) for r in engine.ask(asked).collect())
 
