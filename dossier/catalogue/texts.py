@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from dossier.catalogue.base import table
 from dossier.functions import text
 from dossier.operators.chunking import Packer, chunk_sections, number_chunks
-from dossier.operators.embedding import assemble, embed_documents, hashed_embedder, in_order, request_batches
+from dossier.operators.embedding import assemble, embed_column, embed_documents, hashed_embedder, in_order, request_batches
+from dossier.operators.retrieval import vector_rank
 from dossier.operators.sections import detect
+from dossier.operators.wordvectors import fit
 from dossier.sources.frames import parse_frames, split_frames
 
 
@@ -83,6 +85,21 @@ def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), hashed_embedder(64), "hashed-64").select("doc_id", "embedding", "embedding_model_version")
 
 
+def embedding_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 20th document without each third of its words, a copy that training did not see: whether the learned embedder ranks the originals no worse than hashing."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text").filter("text <> ''")
+    left = F.filter(F.split("text", " "), lambda w, i: i % 3 != 2)
+    copies = docs.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("q"), F.md5("text").alias("original"), F.array_join(left, " ").alias("copy"))
+    held = docs.select("chunk_id", F.md5("text").alias("original"))
+    scores = []
+    for name, embedder in (("learned", fit(docs)), ("hashed", hashed_embedder(64))):
+        asked = copies.select("q", embed_column(F.col("copy"), embedder).alias("query_vector"))
+        found = vector_rank(asked, docs.select("chunk_id", embed_column(F.col("text"), embedder).alias("embedding")), 10, ["q"])
+        hits = found.join(held, "chunk_id").join(copies.select("q", "original"), ["q", "original"]).groupBy("q").agg((F.lit(1.0) / F.min("rank")).alias("share"))
+        scores.append(hits.agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias(name)))
+    return copies.agg(F.count("*").alias("queries")).crossJoin(scores[0]).crossJoin(scores[1]).select("queries", (F.col("learned") >= F.col("hashed")).alias("no_worse"))
+
+
 def wire_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as frames in pieces that part CR from LF, with pings and unknown events between, read back."""
     rows = table(spark, sf_dir, "conversations")
@@ -94,7 +111,7 @@ def wire_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (html_strip_normalize, html_strip_parsed, section_detect_10k, section_detect_10q, sentence_chunks, oversized_split, token_counts, embedding_batches, embedding_assemble, response_order, hashed_vectors, wire_frames)
+    for f in (html_strip_normalize, html_strip_parsed, section_detect_10k, section_detect_10q, sentence_chunks, oversized_split, token_counts, embedding_batches, embedding_assemble, response_order, hashed_vectors, embedding_near_copies, wire_frames)
 }
 
 ORACLE_SQL = {
@@ -107,5 +124,6 @@ select d.source, d.i, case when f.s + d.n > 6000 then f.batch + 1 else f.batch e
 select source, batch, count(*) as n, sum(n)::bigint as tokens from f group by all""",
     "embedding_assemble": "select doc_id, 'given' as embedding_model_version, len(embedding) as dim, md5(text) as text_md5 from documents join embeddings on doc_id = vec_id",
     "response_order": "select label::bigint as label, row_number() over (partition by label order by vec_id) - 1 as at, embedding[1]::double as first from embeddings",
+    "embedding_near_copies": "select count(*) as queries, true as no_worse from documents where text <> '' and doc_id % 20 = 0",
     "wire_frames": "select conv_id as stream_id, 'token' as event, text as data from conversations where text <> ''",
 }
