@@ -416,23 +416,77 @@ def test_main_text_by_density():
     assert html.main_text("<p>Area is <math><mi>x</mi></math> squared, <object>or so</object>.") == "Area is x squared, or so."
 
 
-@pytest.mark.parametrize("name", ["search-results", "social", "share-story", "related-work", "promo", "widget"])
+@pytest.mark.parametrize("name", ["search", "social", "share", "related", "promo", "widget"])
 def test_main_text_under_doubtful_names(name):
-    """A paragraph of an article stays under such a class, a row of buttons goes."""
+    """A paragraph of an article stays under such a class, a row of buttons goes; a compound is another word."""
     body = "This is what the article tells, and it stands under a class that often holds other things."
     page = f"<article><h1>Title</h1><div class='{name}'><p>{body}</p></div><div class='{name}'><p>Click it</p></div><p>End.</p></article>"
     assert html.main_text(page) == f"Title\n{body}\nEnd."
-
-
-def naive_main_text(lines):
-    """Line blocks by the words of the docstring: surge and dive places first, then what lies between."""
-    held = [max(w, 0) for _, w in lines]
-    block = [sum(held[k : k + 3]) for k in range(len(held))]
-    surge = min(60, max(block, default=0) / 2)
-    dives = [k for k in range(len(lines)) if not (lines[k][1] > 0 and block[k] >= surge) and (block[k] < min(20, surge) or not block[k])]
-    surges = [k for k in range(len(lines)) if lines[k][1] > 0 and block[k] >= surge]
-    inside = [k for k in range(len(lines)) if max((s for s in surges if s <= k), default=-1) > max((d for d in dives if d <= k), default=-1)]
-    return "\n".join(lines[k][0] for k in inside if lines[k][1] >= 0)
+    assert html.main_text(f"<article><p>{body}</p><div class='{name}-work'><p>A short remark here.</p></div></article>") == f"{body}\nA short remark here."
+
+
+@pytest.mark.parametrize("name", ["ad-hoc-group", "banner-year", "banner", "notice", "ad", "sidebar", "main-sidebar", "comments"])
+def test_no_mark_empties_a_page(name):
+    body = "This is what the page tells, and it stands under a class that might stand for something else."
+    assert html.main_text(f"<body><div class='{name}'><p>{body}</p></div></body>") == body
+
+
+def test_short_paragraphs_hidden_text_and_plain_menus():
+    body = [f"Sentence {k} of the body stands in a plain division and is long enough." for k in range(3)]
+    text = "".join(f"<p>{x}</p>" for x in body)
+    for last in ("The end.", "Short."):
+        assert html.main_text(f"<div>{text}<p>{last}</p></div><div><a href=/>Home</a></div>") == "\n".join([*body, last])
+    for style in ("hidden", "style='display: none'", "aria-hidden=true"):
+        assert html.main_text(f"<div>{text}<p {style}>Still part of it, if one looks.</p></div>") == "\n".join([*body, "Still part of it, if one looks."])
+    menu, legal = "<ul><li>About us</li><li>Contact</li></ul>", "<ul><li>Terms of use apply here</li><li>Privacy policy for all users</li></ul>"
+    assert html.main_text(f"{menu}<div>{text}</div>{legal}") == html.main_text(f"{legal}<div>{text}</div>{menu}") == "\n".join(body)
+    # Within the text a list of short lines stays, and a heading before it.
+    inner = f"{menu}<div><h2>Title</h2>{body[0]}</div><ul><li>One</li><li>Two</li></ul><div>{body[1]}</div>{legal}"
+    assert html.main_text(inner) == "\n".join(["Title", body[0], "One", "Two", body[1]])
+    # Without windows, every line of weight would stay.
+    for page in (f"{menu}<div>{text}</div>{legal}", inner):
+        assert html.main_text(page) != "\n".join(x.text for x in html.lines_of(page) if x.weight > 0)
+
+
+def test_weights_of_lines_by_construction():
+    """Pages made of blocks whose text, links, marks and elements are known."""
+    rng = random.Random(8)
+    for _ in range(200):
+        page, wanted = "", []
+        for _ in range(rng.randrange(8)):
+            plain, link = "x" * rng.randrange(1, 90), "y" * rng.choice([0, 5, 40])
+            mark, article = rng.choice(["", "", "ad", "share", "ad-hoc", "site-footer"]), rng.random() < 0.3
+            tag = rng.choice(["p", "h2", "div"])
+            block = f"<{tag}>{plain}<a href=q>{link}</a></{tag}>"
+            block = f"<div class='x {mark}'>{block}</div>" if mark else f"<section>{block}</section>"
+            page += f"<article>{block}</article>" if article else block
+            against = {"ad": 2, "site-footer": 2, "share": 1}.get(mark, 0)
+            weight = -len(plain + link) if against == 2 else len(plain) + 20 * article - 60 * (against == 1)
+            wanted.append((plain + link, weight, article or tag == "h2"))
+        assert [(x.text, x.weight, x.firm) for x in html.lines_of(page)] == wanted
+
+
+def naive_main_text(page):
+    """Line blocks by the words of the docstring: surge and dive places first, then what lies between, then the ends."""
+    for words_count in (True, False):
+        lines = html.lines_of(page, words_count)
+        held = [max(x.weight, 0) for x in lines]
+        block = [sum(held[k : k + 3]) for k in range(len(held))]
+        surge = min(60, max(block, default=0) / 2)
+        texts = {x.within for x in lines if x.weight >= 30}
+        surges = [k for k, x in enumerate(lines) if x.weight > 0 and block[k] >= surge]
+        dives = [k for k, x in enumerate(lines) if k not in surges and not (x.weight > 0 and x.within in texts) and (block[k] < min(20, surge) or (x.weight <= 0 and not block[k]))]
+        inside = [max((s for s in surges if s <= k), default=-1) > max((d for d in dives if d <= k), default=-1) for k in range(len(lines))]
+        sure = [x.firm or x.weight >= 30 or x.within in texts for x in lines]
+        kept = []
+        for k, x in enumerate(lines):
+            own = [j for j in range(len(lines)) if all(inside[min(j, k) : max(j, k) + 1])] if inside[k] else []
+            firm = [j for j in own if sure[j]]
+            if own and x.weight >= 0 and (not firm or firm[0] <= k <= firm[-1]):
+                kept.append(x.text)
+        if kept:
+            return "\n".join(kept)
+    return ""
 
 
 def test_main_text_against_brute_force():
@@ -443,9 +497,9 @@ def test_main_text_against_brute_force():
             text = "x" * rng.choice([1, 10, 30, 80, 200])
             parts.append(rng.choice([f"<p>{text}</p>", f"<li><a href=x>{text}</a></li>", f"<nav>{text}</nav>", f"<article><p>{text}</p></article>", f"<div class=share>{text}</div>", f"<p>{text}<a>{text}</a></p>"]))
         page = "".join(parts)
-        assert html.main_text(page) == naive_main_text(html.lines_of(page))
+        assert html.main_text(page) == naive_main_text(page)
     for page in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist():
-        assert html.main_text(page or "") == naive_main_text(html.lines_of(page or ""))
+        assert html.main_text(page or "") == naive_main_text(page or "")
 
 
 def test_main_text_beside_teasers():
