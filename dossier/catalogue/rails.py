@@ -18,9 +18,9 @@ def ticker_rail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each region's nations as asked for; those with even keys are in the corpus."""
     nations = table(spark, sf_dir, "nation")
     asked = nations.groupBy(F.col("n_regionkey").alias("request_id")).agg(F.array_sort(F.collect_list("n_name")).alias("tickers"))
-    allowed = nations.filter("n_nationkey % 2 = 0").agg(F.collect_set("n_name").alias("allowed"))
-    kept, dropped = rails.split_allowed(F.col("tickers"), F.col("allowed"))
-    return asked.crossJoin(F.broadcast(allowed)).select("request_id", F.array_join(kept, ",").alias("kept"), F.array_join(dropped, ",").alias("dropped"))
+    allowed = nations.filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"), F.lit(True).alias("known"))
+    found = rails.split_by(asked, "request_id", "tickers", allowed)
+    return found.select("request_id", F.array_join("kept", ",").alias("kept"), F.array_join("dropped", ",").alias("dropped"))
 
 
 def _asked_years(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +43,10 @@ def year_rail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def company_rail_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short forms of part names against the legal names of all brands and types."""
     parts = table(spark, sf_dir, "part")
-    roster = parts.agg(F.collect_set("p_brand").alias("roster"))
     names = parts.select("p_partkey", F.array(F.upper(F.substring("p_brand", 1, 7)), F.substring("p_brand", 1, 2), "p_type", F.concat(F.lit(" "), F.col("p_brand"), F.lit(" "))).alias("names"))
-    outside, inside = rails.split_companies(F.col("names"), F.col("roster"))
-    return names.crossJoin(F.broadcast(roster)).select("p_partkey", F.array_join(outside, "|").alias("outside"), F.array_join(inside, "|").alias("inside"))
+    known = rails.in_roster_of(names.select(F.explode("names").alias("name")), parts.select(F.col("p_brand").alias("name")))
+    found = rails.split_by(names, "p_partkey", "names", known)
+    return found.select("p_partkey", F.array_join("dropped", "|").alias("outside"), F.array_join("kept", "|").alias("inside"))
 
 
 def backoff_table(spark: SparkSession, sf_dir: str) -> DataFrame:

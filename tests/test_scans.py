@@ -136,3 +136,29 @@ def test_one_group_of_a_million_rows(spark):
     waits = folds.waits(table, ["g"], ["id"], "at", "tokens", 10.0, 1.0).agg(F.max("wait"), F.count("*")).first()
     assert waits[1] == 1_000_000 and waits[0] > 900_000
     assert time.monotonic() - began < 60
+
+
+def test_roster_by_prefix_equals_scanning_it(spark):
+    from dossier.operators import rails
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("aéB ") for _ in range(rng.randrange(1, 7)))
+    roster = [word() for _ in range(300)] + [None, "Apple Inc.", "V", "Zebra"]
+    names = [word() for _ in range(300)] + [None, "", "apple", "V", "Ze", "zeb", "zzz", " APPLE inc. ", "Zebra!"]
+    legal = [r.strip(" ").lower() for r in roster if r is not None]
+    want = {n: any(x == n.strip(" ").lower() if len(n.strip(" ")) < 3 else x.startswith(n.strip(" ").lower()) for x in legal) for n in names if n is not None}
+    found = rails.in_roster_of(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(r,) for r in roster], "name string")).collect()
+    assert {r["name"]: r["known"] for r in found} == want and len(found) == len(want)
+    asked = spark.createDataFrame([(1, ["zeb", None, "zzz", "apple"]), (2, []), (3, None)], "k int, names array<string>")
+    split = rails.split_by(asked, "k", "names", spark.createDataFrame([("zeb", True), ("zzz", False), ("apple", True)], "name string, known boolean"))
+    assert sorted(map(tuple, split.collect())) == [(1, ["zeb", "apple"], ["zzz"]), (2, [], []), (3, [], [])]
+
+
+def test_roster_of_many_names_without_a_cross_join(spark):
+    from dossier.operators import rails
+
+    names = spark.range(200_000).select(F.concat(F.lit("company "), F.hex("id")).alias("name"))
+    roster = spark.range(0, 100_000, 2).select(F.concat(F.lit("Company "), F.hex("id"), F.lit(" inc")).alias("name"))
+    found = rails.in_roster_of(names, roster)
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+    assert found.filter("known").count() > 50_000
