@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.catalogue.base import table
 from dossier.functions import text
+from dossier.operators import sentences
 from dossier.operators.chunking import Packer, chunk_sections, number_chunks
 from dossier.operators.embedding import assemble, embed_column, embed_documents, hashed_embedder, in_order, request_batches
 from dossier.operators.retrieval import vector_rank
@@ -56,6 +57,12 @@ def oversized_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_sections(_as_sections(spark, sf_dir), Packer(sentences=lambda t: [t])).withColumn("metadata", F.to_json("metadata"))
 
 
+def abbreviation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sentence splitter learns from: every word that has a period somewhere, with its counts and score."""
+    rows = sentences.scored(sentences.word_counts(table(spark, sf_dir, "documents")))
+    return rows.select("word", "total", "with_period", "before_number", "small", F.round("score", 6).alias("score"))
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).cast("long").alias("n_tokens"), F.md5(text.with_task("document", F.col("text"))).alias("prefixed_md5"))
 
@@ -111,7 +118,7 @@ def wire_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (html_strip_normalize, html_strip_parsed, section_detect_10k, section_detect_10q, sentence_chunks, oversized_split, token_counts, embedding_batches, embedding_assemble, response_order, hashed_vectors, embedding_near_copies, wire_frames)
+    for f in (html_strip_normalize, html_strip_parsed, section_detect_10k, section_detect_10q, sentence_chunks, oversized_split, abbreviation_scores, token_counts, embedding_batches, embedding_assemble, response_order, hashed_vectors, embedding_near_copies, wire_frames)
 }
 
 ORACLE_SQL = {
@@ -124,6 +131,12 @@ select d.source, d.i, case when f.s + d.n > 6000 then f.batch + 1 else f.batch e
 select source, batch, count(*) as n, sum(n)::bigint as tokens from f group by all""",
     "embedding_assemble": "select doc_id, 'given' as embedding_model_version, len(embedding) as dim, md5(text) as text_md5 from documents join embeddings on doc_id = vec_id",
     "response_order": "select label::bigint as label, row_number() over (partition by label order by vec_id) - 1 as at, embedding[1]::double as first from embeddings",
+    "abbreviation_scores": r"""with t as (select list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda w: regexp_replace(regexp_replace(w, '^["''(\[{«“„¿¡]+', ''), '["'')\]}»”,;:]+$', '')), lambda w: w <> '') as ws from documents),
+p as (select unnest(ws) as w, unnest(list_append(ws[2:], '')) as nxt from t where len(ws) > 0),
+d as (select *, w like '%.' and length(w) > 1 as dotted from p),
+c as (select lower(case when dotted then w[:-2] else w end) as word, count(*) as total, count(*) filter (dotted) as with_period, count(*) filter (dotted and regexp_matches(nxt, '^[0-9]')) as before_number, count(*) filter (w = lower(w)) as small from d group by 1),
+s as (select *, (select sum(with_period) / sum(total) from c) as p, total - with_period as bare, length(word) - length(replace(word, '.', '')) as dots from c where with_period > 0 and regexp_matches(word, '^\p{L}'))
+select word, total, with_period, before_number, small, round(-2 * (with_period * ln(p) + bare * ln(1 - p) - with_period * ln(0.99) - bare * ln(0.01)) * exp(-(length(word) - dots)) * (dots + 1) / power(length(word) - dots, bare), 6) + 0.0::double as score from s""",
     "embedding_near_copies": "select count(*) as queries, true as no_worse from documents where text <> '' and doc_id % 20 = 0",
     "wire_frames": "select conv_id as stream_id, 'token' as event, text as data from conversations where text <> ''",
 }
