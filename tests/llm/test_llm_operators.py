@@ -735,28 +735,32 @@ def test_rules(docs, rows, none):
     assert rules.repeated_words("a b c d e f g h x a b c d e f g h".split()) == 16 and rules.repeated_words(["a"] * 9) == 9
 
 
-def naive_limits(found, group_rows):
-    """(lang, source) to limits by sorting each group's ratios."""
+def naive_limits(found, weight):
+    """(lang, source) to limits by sorting each group's ratios, drawn to its language's and those to all documents'."""
     share = lambda r, n, of: (r[n] + 1) / (r[of] + 1)
     parts = {"symbols_per_word": ("n_symbols", "n_words"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words"), "chars_per_word": ("word_chars", "n_words")}
+    ratio = {k: (lambda r, k=k, v=v: None if k == "dup_line_share" and r["n_lines"] < 5 else share(r, *v)) for k, v in parts.items()}
     members = defaultdict(list)
     for r in found:
         if not r["base_failed"]:
             for key in ((r["lang"], r["source"]), (r["lang"], ...), (..., ...)):
                 members[key].append(r)
-    of = {}
-    for key in [k for k in members if k[1] is not ...]:
-        own = next((members[k] for k in (key, (key[0], ...)) if len(members[k]) >= group_rows), members[..., ...])
-        of[key] = {}
-        for name, (inner, outer) in rules.RATIOS.items():
-            values = sorted(share(r, *parts[name.removesuffix("_least")]) for r in own)
-            at = lambda p, values=values: values[max(0, int(np.ceil(p * len(values))) - 1)]
-            of[key][name] = at(outer) + 4 * (at(outer) - at(inner))
-    return of, {k: (lambda r, v=v: share(r, *v)) for k, v in parts.items()}
-
-
-@pytest.mark.parametrize("group_rows", [1, 60, 10_000])
-def test_rules_verdicts(spark, group_rows):
+
+    def limit(key, name):
+        inner, outer = rules.RATIOS[name]
+        values = sorted(v for r in members[key] if (v := ratio[name.removesuffix("_least")](r)) is not None)
+        at = lambda p: values[max(0, int(np.ceil(p * len(values))) - 1)]
+        own = at(outer) + 4 * (at(outer) - at(inner)) if values else None
+        if key[0] is ...:
+            return own
+        wider = limit((..., ...) if key[1] is ... else (key[0], ...), name)
+        return wider if own is None else own if wider is None else (len(values) * own + weight * wider) / (len(values) + weight)
+
+    return {key: {name: limit(key, name) for name in rules.RATIOS} for key in list(members) if key[1] is not ...}, ratio
+
+
+@pytest.mark.parametrize("weight", [0, 60, 10_000])
+def test_rules_verdicts(spark, weight):
     """kept against limits by sorting, with junk in one group, a group of null names, small groups and a hot one."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
@@ -767,15 +771,15 @@ def test_rules_verdicts(spark, group_rows):
         own = text("###" if i % 31 == 0 else "")
         data.append((i, own + ("\n" + own.split("\n")[0] if i % 9 == 0 else ""), lang, source, 0.5))
     data += [(1000, None, "xx", "lone", 0.5), (1001, "", None, None, 0.5)]
-    found = rules.apply(rules.counts(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, limits double").repartition(3)), group_rows).collect()
-    of, ratio = naive_limits(found, group_rows)
+    found = rules.apply(rules.counts(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, limits double").repartition(3)), weight).collect()
+    of, ratio = naive_limits(found, weight)
     assert len(found) == len(data)
     wanted = {}
     for r in found:
         own = of.get((r["lang"], r["source"]))
-        wanted[r["doc_id"]] = not r["base_failed"] and all(ratio[n](r) <= own[n] for n in ratio) and ratio["chars_per_word"](r) >= own["chars_per_word_least"]
+        wanted[r["doc_id"]] = not r["base_failed"] and all(ratio[n](r) is None or ratio[n](r) <= own[n] for n in ratio) and ratio["chars_per_word"](r) >= own["chars_per_word_least"]
     assert {r["doc_id"]: r["kept"] for r in found} == wanted
-    if group_rows == 60:  # limits that adapt: junk goes, nearly all else stays
+    if weight == 60:  # limits that adapt: junk goes, nearly all else stays
         junk = {i for i in range(0, 400, 31)}
         passed = {r["doc_id"] for r in found if not r["base_failed"]}
         assert not any(wanted[i] for i in junk) and np.mean([wanted[i] for i in passed - junk]) > 0.97
