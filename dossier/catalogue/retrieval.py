@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.catalogue.base import CORPUS_SQL, DISTANCE_SQL, TERMS_SQL, asked_cells, corpus, table, term_index, topics
-from dossier.functions.lexemes import query_lexemes, words
+from dossier.functions.lexemes import query_lexemes, to_lexemes, words
 from dossier.operators import retrieval as R
+from dossier.operators import scorer
 from dossier.operators.postingindex import PostingIndex
-from dossier.operators.selection import ranked_pairs, rerank
+from dossier.operators.selection import overlap_score, ranked_pairs, rerank
 from dossier.operators.vectorindex import VectorIndex
 from dossier.plans.engine import lexeme_index
 from dossier.plans.settle import shared_folder, store
@@ -92,6 +93,24 @@ def rerank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank(R.enrich(found, chunks).join(items, "q")).select("q", "chunk_id", "rerank_score")
 
 
+def fitted_scorer_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the fitted scorer ranks the benchmark's held-out passages above others, for parts of themselves, no worse than term overlap does."""
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), "text").filter("text is not null")
+    fitted = scorer.fit(passages)
+    counts = passages.select(F.explode(F.map_keys(to_lexemes("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    asked = scorer.questions(passages.filter(scorer.part_of(F.col("chunk_id"), 20)))
+    pool = store(scorer.pools(asked, passages, counts).join(asked, "q").join(passages, "chunk_id"))
+    ranks = []
+    for name, score in (("fitted", fitted), ("overlap", overlap_score)):
+        rows = rerank(pool, score).select("q", (F.col("q") == F.col("chunk_id")).alias("own"), "rerank_score")
+        best = rows.filter("own").select("q", F.col("rerank_score").alias("best"))
+        # Others with the same score count as better.
+        above = rows.join(best, "q").groupBy("q").agg(F.count_if(~F.col("own") & (F.col("rerank_score") >= F.col("best"))).alias("n"))
+        ranks.append(above.agg(F.sum(1 / (1 + F.col("n"))).alias(name)))
+    total = passages.agg(F.count("*").alias("passages"))  # one row each
+    return total.crossJoin(ranks[0]).crossJoin(ranks[1]).select("passages", F.coalesce(F.col("fitted") >= F.col("overlap"), F.lit(True)).alias("no_worse"))
+
+
 def ann_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 20 of the inverted-file search against exact search, for every 20th vector."""
     chunks = corpus(spark, sf_dir).filter("embedding is not null").select("chunk_id", "embedding")
@@ -155,7 +174,7 @@ def pool_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_pairs(rows, 2, 8, []).select("ticker", "period_year", "chunk_id", F.col("in_pair").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_cell_search, vector_topk, vector_topk_per_cell, lexical_match_and, lexical_topk_per_cell, lexical_cover_density, rrf_fusion, cells_cross_product, merge_dedup_first, enrich_join, rerank_scores, ann_ivf_recall, vector_index_recall, vector_index_full, postings_topk_per_cell, postings_cover_topk, pool_by_pair)}
+QUERIES = {f.__name__: f for f in (hybrid_cell_search, vector_topk, vector_topk_per_cell, lexical_match_and, lexical_topk_per_cell, lexical_cover_density, rrf_fusion, cells_cross_product, merge_dedup_first, enrich_join, rerank_scores, fitted_scorer_rank, ann_ivf_recall, vector_index_recall, vector_index_full, postings_topk_per_cell, postings_cover_topk, pool_by_pair)}
 
 _VEC = "vec as (select * from (select {by}, chunk_id, row_number() over (partition by {by} order by distance, chunk_id) as rank from (select {keys} as q, {extra}chunk_id, " + DISTANCE_SQL + " as distance from corpus, topics where e is not null)) where rank <= 20)"
 _LEX = "hits as (select {by}, chunk_id, sum(tf) as score from postings join asked using (term) group by {by}, chunk_id, n having count(*) = n), lex as (select * from (select {by}, chunk_id, row_number() over (partition by {by} order by score desc, chunk_id) as rank from hits) where rank <= 20)"
@@ -178,6 +197,7 @@ ranked as (select *, row_number() over (partition by q order by score desc, chun
 select q, count(*) as n, round(max(score), 9) as best, round(min(score), 9) as last, round(sum(score), 6) as total from ranked where r <= 20 group by q"""
 
 ORACLE_SQL = {
+    "fitted_scorer_rank": "select count(*) as passages, true as no_worse from benchmark where text is not null",
     "vector_index_full": _TOPK,
     "vector_index_recall": f"select count(distinct q) as queries, count(*) as pairs, true as recall_met from ({_TOPK})",
     "vector_topk": _TOPK,
