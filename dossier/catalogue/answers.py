@@ -1,11 +1,15 @@
-"""Selection, coverage, verdicts and answers. A request is a source; its corpus is the labelled documents of quality 1."""
+"""Selection, coverage, verdicts and answers.
+
+A request of the answers is a source and three years, so that every chunk belongs to one; its question is the vector of
+its source's first chunk.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.catalogue.base import SCORED_SQL, corpus, scored, table
+from dossier.catalogue.base import REQUESTS_SQL, SCORED_SQL, corpus, likeness, scored, table
 from dossier.config import Settings
 from dossier.functions.numbers import effective_floor
 from dossier.operators import answer, coverage
@@ -14,11 +18,13 @@ from dossier.operators.selection import dropped_pairs, select_with_floor
 from dossier.plans.engine import Engine, lexeme_index
 from dossier.plans.settle import settle
 
-NORMAL, GRADUATED = "ticker in ('en', 'de') and period_year in (0, 1)", "ticker in ('en', 'de') and period_year in (0, 1, 2)"
+#: Each query's chunks in parts of two languages and two years (4 pairs), or three (6), or all together.
+NORMAL, GRADUATED, WHOLE = ("concat(ticker in ('en', 'de'), '-', period_year div 2)", "concat(ticker in ('en', 'de'), '-', period_year div 3)", "'all'")
 
 
-def _chosen(spark: SparkSession, sf_dir: str, only: str) -> DataFrame:
-    return select_with_floor(scored(spark, sf_dir).filter(only), 2, 8).select("chunk_id", "ticker", "period_year", "score", F.col("place").cast("long"))
+def _chosen(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    rows = scored(spark, sf_dir).withColumn("part", F.expr(part))
+    return select_with_floor(rows, 2, 8, ["q", "part"]).select("q", "part", "chunk_id", "ticker", "period_year", "score", F.col("place").cast("long"))
 
 
 def select_with_floor_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,21 +36,26 @@ def select_with_floor_graduated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def select_with_floor_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chosen(spark, sf_dir, "true")
+    return _chosen(spark, sf_dir, WHOLE)
 
 
 def capacity_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dropped_pairs(scored(spark, sf_dir), 2, 8)
+    return dropped_pairs(scored(spark, sf_dir), 2, 8, ["q"])
+
+
+REQUEST = "concat(section, '-', period_year div 3)"
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("chunk_id"))
-    return scored(spark, sf_dir).join(good, "chunk_id").withColumn("request_id", F.col("section"))
+    chunks = corpus(spark, sf_dir).filter("embedding is not null")
+    questions = chunks.groupBy("section").agg(F.min_by("embedding", "chunk_id").alias("query_vector"))
+    rows = chunks.join(questions, "section").withColumn("score", likeness(F.col("embedding"), F.col("query_vector")))
+    return rows.withColumn("request_id", F.expr(REQUEST)).drop("embedding", "query_vector")
 
 
 def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = corpus(spark, sf_dir).groupBy(F.col("section").alias("request_id"))
-    return pairs.agg(F.array_sort(F.collect_set("ticker")).alias("tickers"), F.array_sort(F.collect_set(F.when(F.col("period_year") < 3, F.col("period_year")))).alias("years"))
+    pairs = corpus(spark, sf_dir).groupBy(F.expr(REQUEST).alias("request_id"))
+    return pairs.agg(F.array_sort(F.collect_set("ticker")).alias("tickers"), F.array_sort(F.collect_set("period_year")).alias("years"))
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -159,26 +170,26 @@ pairs as (select {by}ticker, period_year, row_number() over ({over}order by scor
 r as (select p.*, pair_rank, n, case when n * 2 <= 8 then 2 when n <= 8 then greatest(1, 8 // n) else 1 end as eff from p join pairs using ({by}ticker, period_year)),
 turns as (select *, row_number() over ({over}order by (in_pair > eff)::integer, score desc, chunk_id) as turn from r where n <= 8 or pair_rank <= 8),
 chosen as (select *, row_number() over ({over}order by score desc, chunk_id) as place from turns where turn <= 8)"""
-_ONE = _RANKS.format(by="", over="")
+_ONE = _RANKS.format(by="q, part, ", over="partition by q, part ")
 _EACH = _RANKS.format(by="request_id, ", over="partition by request_id ")
-_PLAN = f"""with {SCORED_SQL}, pool as (select scored.*, section as request_id from scored join labels on chunk_id = doc_id where quality = 1), {_EACH},
-needed as (select distinct t.section as request_id, t.ticker, y.period_year from corpus t join corpus y on t.section = y.section where y.period_year < 3),
+_PLAN = f"""with {REQUESTS_SQL}, {_EACH},
+needed as (select distinct request_id, t.ticker, y.period_year from (select distinct request_id, ticker from parts) t join (select distinct request_id, period_year from parts) y using (request_id)),
 dropped as (select distinct request_id, ticker, period_year from r where n > 8 and pair_rank > 8),
 gaps as (select n.*, case when d.ticker is not null then 'capacity' else 'coverage' end as cause from needed n anti join chosen c using (request_id, ticker, period_year) left join dropped d using (request_id, ticker, period_year)),
-requests as (select distinct section as request_id from corpus),
+requests as (select distinct request_id from parts),
 counts as (select request_id, coalesce(n_gaps, 0) as n_gaps, coalesce(n_drops, 0) as n_drops, coalesce(n_chosen, 0) as n_chosen from requests
   left join (select request_id, count(*) filter (cause = 'coverage') as n_gaps, count(*) filter (cause = 'capacity') as n_drops from gaps group by 1) using (request_id)
   left join (select request_id, count(*) as n_chosen from chosen group by 1) using (request_id)),
 verdict as (select counts.request_id, case when n_gaps > 0 or n_chosen < 5 or v.request_id is null then 'low' else 'high' end as confidence,
   case when n_gaps > 0 or v.request_id is null then 'coverage' when n_chosen < 5 then 'llm' else 'none' end as confidence_reason, n_gaps, n_drops, n_chosen from counts left join (select distinct request_id from needed) v using (request_id))"""
 _EVIDENCE = "select request_id, string_agg('[' || place || '] ' || ticker || ' 10-K FY' || period_year || ' | section=' || section || chr(10) || text, chr(10) || chr(10) order by place) as evidence from chosen group by 1"
-_NORMAL = f"with {SCORED_SQL}, pool as (select * from scored where {{only}}), {_ONE} select chunk_id, ticker, period_year, score, place from chosen"
+_NORMAL = f"with {SCORED_SQL}, pool as (select *, {{part}} as part from scored), {_ONE} select q, part, chunk_id, ticker, period_year, score, place from chosen"
 
 ORACLE_SQL = {
-    "select_with_floor_normal": _NORMAL.format(only=NORMAL),
-    "select_with_floor_graduated": _NORMAL.format(only=GRADUATED),
-    "select_with_floor_overflow": _NORMAL.format(only="true"),
-    "capacity_dropped": f"with {SCORED_SQL}, pool as (select * from scored), {_ONE} select distinct ticker, period_year from r where n > 8 and pair_rank > 8",
+    "select_with_floor_normal": _NORMAL.format(part=NORMAL.replace(" div ", " // ")),
+    "select_with_floor_graduated": _NORMAL.format(part=GRADUATED.replace(" div ", " // ")),
+    "select_with_floor_overflow": _NORMAL.format(part=WHOLE),
+    "capacity_dropped": f"with {SCORED_SQL}, pool as (select *, 'all' as part from scored), {_ONE} select distinct q, ticker, period_year from r where n > 8 and pair_rank > 8",
     "coverage_gaps": f"{_PLAN} select request_id, ticker, period_year from gaps",
     "coverage_capacity_split": f"{_PLAN} select request_id, ticker, period_year, cause from gaps",
     "evaluate_verdict": f"{_PLAN} select request_id, confidence, confidence_reason, n_gaps, n_drops from verdict",
@@ -200,8 +211,8 @@ select request_id, seq, 'event: token' || chr(10) || 'data: ' || to_json({{'text
     "floors": f"with {SCORED_SQL}, n as (select section as request_id, count(distinct (ticker, period_year)) as n_pairs from corpus group by 1) select request_id, n_pairs, (case when n_pairs * 3 <= 20 then 3 when n_pairs <= 20 then greatest(1, 20 // n_pairs) else 1 end)::bigint as floor from n",
     "roster_render": "select string_agg('- ' || s_suppkey || ' — ' || s_name, chr(10) order by s_suppkey::varchar) as roster from supplier",
     "synthesis_prompts": f"""{_PLAN}, rows as (select request_id, coalesce(evidence, '(no passages retrieved)') as evidence from requests left join ({_EVIDENCE}) using (request_id)),
-t as (select request_id, string_agg(ticker, ', ' order by ticker) as tickers from (select distinct section as request_id, ticker from corpus) group by 1),
-y as (select request_id, string_agg(period_year::varchar, ', ' order by period_year) as years from (select distinct section as request_id, period_year from corpus where period_year < 3) group by 1),
+t as (select request_id, string_agg(ticker, ', ' order by ticker) as tickers from (select distinct request_id, ticker from parts) group by 1),
+y as (select request_id, string_agg(period_year::varchar, ', ' order by period_year) as years from (select distinct request_id, period_year from parts) group by 1),
 d as (select request_id, string_agg(ticker || ' ' || period_year, ', ' order by ticker, period_year) as pairs from dropped group by 1)
 select request_id, 'User question:' || chr(10) || request_id || chr(10) || chr(10) || 'Unavailable (out-of-corpus) tickers: ' || tickers || chr(10) || 'Unavailable (out-of-corpus) companies: (none)' || chr(10) || 'Unavailable (out-of-coverage) years: ' || coalesce(years, '(none)') || chr(10) ||
 coalesce('Omitted for context capacity (evidence existed but exceeded the context budget -- NOT missing data): ' || pairs || chr(10), '') || chr(10) || 'Retrieved evidence:' || chr(10) || evidence as prompt

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.lexemes import words
@@ -47,17 +47,27 @@ def asked_cells(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFram
     return topics(spark, sf_dir).crossJoin(chunks.select("ticker", "period_year").distinct())
 
 
+def likeness(embedding: Column, query_vector: Column) -> Column:
+    return F.round(F.lit(1.0) - cosine_distance(embedding, query_vector), 6)
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_id, ticker, period_year, score, section, text: likeness to vector 0."""
+    """q, chunk_id, ticker, period_year, score, section, text: every chunk that has a vector by its likeness to each query."""
     chunks = corpus(spark, sf_dir).filter("embedding is not null")
-    one = table(spark, sf_dir, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("query_vector"))
-    return chunks.crossJoin(F.broadcast(one)).withColumn("score", F.round(F.lit(1.0) - cosine_distance(F.col("embedding"), F.col("query_vector")), 6)).drop("embedding", "query_vector")
+    asked = topics(spark, sf_dir).select("q", "query_vector")
+    return chunks.crossJoin(asked).withColumn("score", likeness(F.col("embedding"), F.col("query_vector"))).drop("embedding", "query_vector")
 
 
 CORPUS_SQL = """corpus as (select doc_id as chunk_id, lang as ticker, source as section, text, coalesce(label, doc_id % 10)::integer as period_year, embedding::double[] as e from documents left join embeddings on doc_id = vec_id),
 topics as (select vec_id as q, embedding::double[] as qe, text as own from embeddings left join documents on doc_id = vec_id where vec_id % 20 = 0)"""
 DISTANCE_SQL = "round(1 - list_inner_product(e, qe) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(qe, qe))), 6) + 0.0::double"
+_LIKENESS_SQL = "round(1 - (1 - list_inner_product(e, qe) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(qe, qe)))), 6)"
 SCORED_SQL = f"""{CORPUS_SQL},
-scored as (select chunk_id, ticker, period_year, section, text, round(1 - (1 - list_inner_product(e, qe) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(qe, qe)))), 6) as score from corpus, topics where q = 0 and e is not null)"""
+scored as (select q, chunk_id, ticker, period_year, section, text, {_LIKENESS_SQL} as score from corpus, topics where e is not null)"""
+# A request is a source and three years; its question is the vector of its source's first chunk.
+REQUESTS_SQL = f"""{CORPUS_SQL},
+parts as (select *, section || '-' || (period_year // 3) as request_id from corpus),
+questions as (select section, arg_min(e, chunk_id) as qe from corpus where e is not null group by 1),
+pool as (select chunk_id, ticker, period_year, section, text, request_id, {_LIKENESS_SQL} as score from parts join questions using (section) where e is not null)"""
 TERMS_SQL = """postings as (select chunk_id, ticker, period_year, term, count(*) as tf from (select chunk_id, ticker, period_year, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as term from corpus) where term <> '' group by all),
 asked as (select *, count(*) over (partition by q) as n from (select distinct q, unnest(list_filter(regexp_split_to_array(lower(own), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')[1:2]) as term from topics))"""
