@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossier.catalogue.base import table
 from dossier.functions import numbers, text
 from dossier.operators import rails
+from dossier.operators.scans import LastSeen, scan
 
 
 def _long(column: str) -> F.Column:
@@ -77,9 +78,9 @@ def blob_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last signup or purchase before each event of a user, as parts carry over headings."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     part = F.when(F.col("event_type").isin("signup", "purchase"), F.col("event_type"))
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.last(part, ignorenulls=True).over(order), F.lit("none")).alias("part"))
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", part.alias("part"))
+    return scan(rows, ["user_id"], ["ts", "event_id"], LastSeen("part")).select("event_id", F.coalesce("seen", F.lit("none")).alias("part"))
 
 
 def toc_guard(spark: SparkSession, sf_dir: str) -> DataFrame:

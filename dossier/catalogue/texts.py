@@ -28,11 +28,18 @@ def html_strip_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", cleaned.alias("text"))
 
 
+#: The headings of made filings: the part's, the item's, and the key and name that the form gives them.
+HEADS = {
+    "10-K": [("", "Item 1. Business", "1", "Item 1. Business"), ("", "Item 1A. Risk Factors", "1A", "Item 1A. Risk Factors"), ("", "Item 7. Discussion", "7", "Item 7. Management's Discussion and Analysis"), ("", "Item 8. Statements", "8", "Item 8. Financial Statements and Supplementary Data")],
+    "10-Q": [("PART I ", "Item 1. Statements", "PI-1", "Item 1. Financial Statements"), ("", "Item 2. Discussion", "PI-2", "Item 2. Management's Discussion and Analysis"), ("PART II ", "Item 1. Proceedings", "PII-1", "Item 1. Legal Proceedings"), ("", "Item 1A. Risk Factors", "PII-1A", "Item 1A. Risk Factors")],
+}
+
+
 def _filings(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
-    """Every document as a filing: a table of contents, and its own text under each of the form's headings."""
-    heads = ["Item 1. Business", "Item 1A. Risk Factors", "Item 7. Discussion", "Item 8. Statements"] if form == "10-K" else ["PART I Item 1. Statements", "Item 2. Discussion", "PART II Item 1. Proceedings", "Item 1A. Risk Factors"]
+    """Every document as a filing: a table of contents, and its own text (marks of markup blanked) under each of the form's headings."""
+    heads = [part + head for part, head, _, _ in HEADS[form]]
     contents = "".join(f"<p>{h}</p>" for h in heads)
-    body = [x for h in heads for x in (F.lit(f"<h2>{h}</h2><table><tr><td>1</td></tr></table><p>"), F.coalesce("text", F.lit("")), F.lit("</p>"))]
+    body = [x for h in heads for x in (F.lit(f"<h2>{h}</h2><table><tr><td>1</td></tr></table><p>"), F.translate(F.coalesce("text", F.lit("")), "<>&", "   "), F.lit("</p>"))]
     return table(spark, sf_dir, "documents").select("doc_id", F.lit(form).alias("form_type"), F.concat(F.lit(f"<html><body>{contents}"), *body, F.lit("</body></html>")).alias("html"))
 
 
@@ -121,7 +128,28 @@ QUERIES = {
     for f in (html_strip_normalize, html_strip_parsed, section_detect_10k, section_detect_10q, sentence_chunks, oversized_split, abbreviation_scores, token_counts, embedding_batches, embedding_assemble, response_order, hashed_vectors, embedding_near_copies, wire_frames)
 }
 
+def _sections_sql(form: str) -> str:
+    """Sections of the made filings by their places: a heading counts if 200 characters or more lie before the next one, and takes what follows until the next that counts.
+
+    A table is a sentinel of seven characters between two blanks; a part's heading ends the section before it.
+    """
+    heads = HEADS[form]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({k}, {quoted(head)}, {quoted(heads[k + 1][0] if k + 1 < len(heads) else '')}, {quoted(key)}, {quoted(name)}, {quoted('II' if key.startswith('PII') else 'I')})" for k, (_, head, key, name) in enumerate(heads))
+    contents = quoted(" ".join(part + head for part, head, _, _ in heads) + " " + heads[0][0])
+    metadata = """'{"tables_stripped":"' || count(*) || '"}'""" if form == "10-K" else """'{"tables_stripped":"' || count(*) || '","part":"' || arg_min(in_part, k) || '"}'"""
+    space = "trim(regexp_replace(translate(@, chr(8203) || chr(8204) || chr(8205) || chr(65279), ''), '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'))"
+    return f"""with d as (select doc_id, translate(coalesce(text, ''), '<>&', '   ') as t from documents), h(k, head, next_part, item_key, name, in_part) as (values {values}),
+b as (select *, head || '  ' || t || ' ' || next_part as body, length(head) + 8 + (case when t <> '' then 1 + length(t) else 0 end) + (case when k < 3 then 1 + length(next_part) else 0 end) >= 200 as counts from d, h),
+g as (select *, sum(counts::integer) over (partition by doc_id order by k) as nth, bool_and(counts or k > 2) over (partition by doc_id) as whole from b),
+s as (select doc_id, arg_min(name, k) as name, arg_min(item_key, k) as item_key, (nth - 1)::integer as section_order, {space.replace("@", "string_agg(body, ' ' order by k)")} as text, {metadata} as metadata from g where whole and nth > 0 group by doc_id, nth
+union all select doc_id, 'unstructured', 'unstructured', 0, {space.replace("@", f"{contents} || string_agg(body, ' ' order by k)")}, '{{"detection":"fallback_unstructured"}}' from g where not whole group by doc_id)
+select *, length(text)::integer as char_count from s"""
+
+
 ORACLE_SQL = {
+    "section_detect_10k": _sections_sql("10-K"),
+    "section_detect_10q": _sections_sql("10-Q"),
     "html_strip_normalize": r"""with s as (select page_id, trim(regexp_replace(translate(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>', '', 'gis'), '<[^>]*>', ' ', 'g'), chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(65279), ' '), '\s+', ' ', 'g')) as t from pages)
 select page_id, md5(t) as text_md5, length(t) as n_chars from s""",
     "token_counts": r"select doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::bigint as n_tokens, md5('search_document: ' || text) as prefixed_md5 from documents",
