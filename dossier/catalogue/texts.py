@@ -147,7 +147,17 @@ union all select doc_id, 'unstructured', 'unstructured', 0, {space.replace("@",
 select *, length(text)::integer as char_count from s"""
 
 
+_SPACED = r"trim(regexp_replace(translate(@, chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(65279), ' '), '[\s\x0b\x1c-\x1f\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))"
+# The references that the pages have; one pass, so that of &amp;quot; the first is decoded alone.
+_DECODED = "replace(replace(replace(replace(replace(replace(@, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_STRIPPED = r"regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>', ' ', 'gis'), '<[^>]*>', ' ', 'g')"
+
 ORACLE_SQL = {
+    "html_strip_parsed": f"select page_id, {_SPACED.replace('@', _DECODED.replace('@', _STRIPPED))} as text from pages",
+    "oversized_split": f"""with w as (select doc_id, string_split({_SPACED.replace("@", "coalesce(text, '')")}, ' ') as ws from documents),
+p as (select doc_id, ws, len(ws) as n, unnest(range(0, len(ws), 512)) as o from w where ws <> [''])
+select doc_id, 'text' as section, 0 as section_order, (o // 512)::integer as chunk_index, array_to_string(ws[o + 1 : o + 512], ' ') as text, least(512, n - o)::integer as token_count,
+  '{{"item_key":"1","part":"I"' || case when n > 400 then ',"oversized":"true"' else '' end || '}}' as metadata from p""",
     "section_detect_10k": _sections_sql("10-K"),
     "section_detect_10q": _sections_sql("10-Q"),
     "html_strip_normalize": r"""with s as (select page_id, trim(regexp_replace(translate(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>', '', 'gis'), '<[^>]*>', ' ', 'g'), chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(65279), ' '), '\s+', ' ', 'g')) as t from pages)
