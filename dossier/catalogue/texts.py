@@ -158,6 +158,23 @@ ORACLE_SQL = {
 p as (select doc_id, ws, len(ws) as n, unnest(range(0, len(ws), 512)) as o from w where ws <> [''])
 select doc_id, 'text' as section, 0 as section_order, (o // 512)::integer as chunk_index, array_to_string(ws[o + 1 : o + 512], ' ') as text, least(512, n - o)::integer as token_count,
   '{{"item_key":"1","part":"I"' || case when n > 400 then ',"oversized":"true"' else '' end || '}}' as metadata from p""",
+    # Sentences end where a token closes and the next begins anew; then one step of the recursion for each chunk.
+    "sentence_chunks": f"""with recursive w as (select doc_id, string_split({_SPACED.replace("@", "coalesce(text, '')")}, ' ') as ws from documents),
+t as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i, len(ws) as n from w where ws <> ['']),
+e as (select *, i < n and regexp_matches(w, '[.!?]["'')\\]]*$') and regexp_matches(lead(w) over o, '^["''(\\[]*[A-Z0-9À-Þ]') as ends from t window o as (partition by doc_id order by i)),
+g as (select *, coalesce(sum(ends::integer) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as s from e),
+sentences as (select doc_id, s, string_agg(case when ends then regexp_replace(w, '["'')\\]]*$', '') else w end, ' ' order by i) as text from g group by all),
+l as (select doc_id, list(text order by s) as texts, list(len(string_split(text, ' ')) order by s) as cs from sentences group by 1),
+m as (select *, list_transform(range(0, len(cs) + 1), lambda k: coalesce(list_sum(cs[1:k]), 0)) as sums from l),
+f as (select doc_id, texts, cs, sums, 0::bigint as a, 0::bigint as b, false as big, false as done, -1::bigint as step from m union all
+select doc_id, texts, cs, sums, a2, b2, big2, b2 = len(cs), step + 1 from (select *, case when big2 then a2 + 1 else a2 + coalesce(list_position(list_transform(range(a2, len(cs)), lambda k: cs[k + 1] > 400 or sums[k + 2] - sums[a2 + 1] > 400), true), len(cs) - a2 + 1) - 1 end as b2
+ from (select *, cs[a2 + 1] > 400 as big2 from (select *, case when step < 0 then 0 when big then b else greatest(a + 1, b - coalesce(list_position(list_transform(range(1, b - a + 1), lambda k: sums[b + 1] - sums[b + 1 - k] > 50), true), b - a + 1) + 1) end as a2 from f where not done)))),
+c as (select doc_id, step, big, array_to_string(texts[a + 1 : b], ' ') as text from f where step >= 0),
+p as (select doc_id, step, big, string_split(text, ' ') as ws from c),
+o as (select doc_id, step, big, unnest(case when big then range(0, len(ws), 512) else [0] end) as x, ws from p),
+r as (select doc_id, row_number() over (partition by doc_id order by step, x) - 1 as nth, big, case when big then ws[x + 1 : x + 512] else ws end as ws from o)
+select doc_id, 'text' as section, 0 as section_order, nth::integer as chunk_index, array_to_string(ws, ' ') as text, len(ws)::integer as token_count,
+  '{{"item_key":"1","part":"I"' || case when big then ',"oversized":"true"' else '' end || ',"section_chunk_index":"' || nth || '"}}' as metadata from r""",
     "section_detect_10k": _sections_sql("10-K"),
     "section_detect_10q": _sections_sql("10-Q"),
     "html_strip_normalize": r"""with s as (select page_id, trim(regexp_replace(translate(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>', '', 'gis'), '<[^>]*>', ' ', 'g'), chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(65279), ' '), '\s+', ' ', 'g')) as t from pages)
