@@ -107,6 +107,46 @@ select vec_id, m.c::integer as cluster, m.d as distance, sum(m.d) over (partitio
 from a{rounds} join v using (i) join c{rounds} on c{rounds}.c = m.c"""
 
 
+def secrets_sql(alpha: float = 0.001, limit: float = 3.5) -> str:
+    """Spans by splitting at the patterns; the battery from each token's characters as rows; the rule by counts of bins."""
+    assign = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "PASSWORD|PASSWD|SECRET|TOKEN|API_?KEY".lower())
+    patterns = {"assign": f"""({assign})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}", "run": "[A-Za-z0-9+/_-]{12,}"}
+    matches = " union all ".join(f"select r, {k} as ord, '{kind}' as kind, regexp_extract_all(t, '{p}') as ms, regexp_split_to_array(t, '{p}') as gs from docs" for k, (kind, p) in enumerate(patterns.items()))
+    fits = " ".join(f"when regexp_full_match(m, '[{a.replace('-', chr(92) + '-')}]+') then '{name}'" for name, a in secretscan.ALPHABETS.items())
+    alphabets = ", ".join(f"('{name}', '{a}', {len(a)}::double)" for name, a in secretscan.ALPHABETS.items())
+    pair, triple, change = secretscan.USUAL
+    sums = "sum(pairs) as pairs, sum(n * (n - 1) / 2) as of_pairs, sum(triples) as triples, sum(n * (n - 1) * (n - 2) / 6) as of_triples, sum(changes) as changes, sum(n - 1) as of_changes"
+    rate = lambda x, usual: f"(coalesce(f.{x}, 0) + 1000 * coalesce(w.{x} / nullif(w.of_{x}, 0), {usual})) / (coalesce(f.of_{x}, 0) + 1000)"
+    return f"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+found as materialized ({matches}),
+placed as (select r, ord, kind, m, sum(length(g) + length(m)) over (partition by r, ord order by i) as e from (select r, ord, kind, unnest(ms) as m, unnest(gs[: len(ms)]) as g, generate_subscripts(ms, 1) as i from found where len(ms) > 0)),
+spans as materialized (select *, e - length(m) as s from placed),
+base as (select * from spans where ord in (1, 2) or ord = 0 and length(regexp_extract(m, '{patterns["assign"]}', 2)) >= 12),
+alphabets(encoding, a, size) as (values {alphabets}),
+tokens as (select row_number() over () as k, r, s, e, m, case when regexp_full_match(m, '[0-9]+') then null {fits} end as encoding, length(m) >= 16 as long from spans x where ord = 3
+  and (length(m) >= 16 and not exists (select 1 from base b where b.r = x.r and b.s < x.e and b.e > x.s) or length(m) < 16 and regexp_full_match(m, '[A-Za-z]+'))),
+chars as (select k, encoding, size, c, i, strpos(a, c)::double as v, case when c between '0' and '9' then 1 when c between 'A' and 'Z' then 2 when c between 'a' and 'z' then 3 else 0 end as kind
+  from (select k, encoding, size, a, unnest(string_split(m, '')) as c, generate_subscripts(string_split(m, ''), 1) as i from tokens join alphabets using (encoding))),
+counted as (select k, sum(n * (n - 1) / 2)::double as pairs, sum(n * (n - 1) * (n - 2) / 6)::double as triples from (select k, c, count(*)::double as n from chars group by all) group by 1),
+means as (select k, sum(v) / count(*) as mean from chars group by 1),
+steps as (select k, size, v, v > size / 2 as up, lag(v > size / 2) over o as up_before, v - mean as d, lag(v - mean) over o as d_before, kind, lag(kind) over o as kind_before from chars join means using (k) window o as (partition by k order by i)),
+sums as (select k, any_value(size) as size, count(*)::double as n, sum(up::integer)::double as high, coalesce(sum((up <> up_before)::integer), 0)::double as turns, coalesce(sum(d * d_before), 0) as product, sum(d * d) as spread, coalesce(sum((kind <> kind_before)::integer), 0)::double as changes from steps group by 1),
+tested as (select *, 2 * high * (n - high) / n + 1 as mu from sums join counted using (k) join tokens using (k)),
+judged as materialized (select *, case when high > 1 and n - high > 1 and spread > 0 then
+  abs((size * (n + 2 * pairs) / n - n - (size - 1)) / sqrt(2 * (size - 1) * (n - 1) / n)) <= {limit} and abs((1 + turns - mu) / sqrt((mu - 1) * (mu - 2) / (n - 1))) <= {limit} and abs((product / spread + 1 / n) * sqrt(n)) <= {limit} else false end as passed from tested),
+w as (select {sums} from judged where not long),
+f as (select encoding, {sums} from judged where long and not passed group by 1),
+rates as (select alphabets.encoding, {rate("pairs", pair)} as p2, {rate("triples", triple)} as p3, {rate("changes", change)} as p1 from alphabets left join f using (encoding), w),
+scores as (select *, (n * (n - 1) / 2 * p2 - pairs) / sqrt(n * (n - 1) / 2 * (p2 * (1 - p2) + 2 * (n - 2) * greatest(p3 - p2 * p2, 0.0))) as fewer, (changes - (n - 1) * p1) / sqrt((n - 1) * p1 * (1 - p1)) as oftener from judged join rates using (encoding) where long),
+zs as (select *, case when encoding in ('lower', 'upper') then fewer else (fewer + oftener) / sqrt(2) end as z from scores),
+bins as materialized (select *, floor(2 * log2(n)) as band, case when passed and z > 0 then least(floor(10 * ((z * z / 2 - ln(2) + ln(2 * pi()) / 2 + ln(z + sqrt(z * z + 8 / pi()))) / ln(10))), {secretscan.BINS}) else 0 end as bin from zs),
+bars as (select encoding, band, min(bin) as bar from (select distinct encoding, band, bin, count(*) over (partition by encoding, band) as tested, count(*) over (partition by encoding, band order by bin desc) as found from bins) where bin > 0 and tested * power(10, -bin / 10) <= {alpha} * found group by 1, 2),
+every as (select r, ord, kind, s, e from base union all select r, 3, '{secretscan.METHOD}', s, e from bins join bars using (encoding, band) where bin >= bar),
+listed as (select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex, string_agg(kind || ':' || s || ':' || e, ',' order by s, ord) filter (ord < 3) as own, string_agg(kind || ':' || s || ':' || e, ',' order by s, ord) as spans from every group by 1)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(own, '')) as base_sha256, coalesce(spans, '') as spans from docs left join listed using (r)"""
+
+
 QUERIES = {f.__name__: f for f in (pipeline, op1_quality, op2_simhash, op3_nearest, op4_chat, op5_main_text, op6_suffix, op7_bpe, op8_packing, op9_rules, op10_line_dedup, op11_clusters, op12_phrases, op13_secrets)}
 
 ORACLE_SQL = {
@@ -125,6 +165,7 @@ ranked as (select lowest.*, row_number() over (partition by lowest.lang order by
   left join inside on inside.lang = lowest.lang and inside.phrase = lowest.phrase where most is null or 100::hugeint * most < 80::hugeint * a)
 select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000""",
     "op11_clusters": clusters_sql(),
+    "op13_secrets": secrets_sql(),
     "op3_nearest": """
 with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(embedding) = 64),
 pairs as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as s from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),

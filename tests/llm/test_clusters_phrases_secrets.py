@@ -237,3 +237,18 @@ def test_running_sums(spark):
     for n in (0, 1, 255, 256, 257, 1000):
         row = spark.createDataFrame([([k % 7 for k in range(n)],)], "v array<long>").select(secretscan.running(F.col("v")).alias("s")).first()
         assert row["s"] == np.cumsum([k % 7 for k in range(n)], dtype=int).tolist()
+
+
+def test_sql_finds_the_same_spans(spark, secret_rows, tmp_path):
+    """The query's SQL on texts with planted keys, which the driver's tables lack."""
+    import duckdb
+
+    from dossier.llm import queries
+
+    rows, keys = secret_rows
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = [tuple(r) for r in queries.op13_secrets(spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = db.sql(queries.ORACLE_SQL["op13_secrets"]).fetchall()
+    assert sorted(map(str, found)) == sorted(map(str, wanted)) and sum("random:" in r[5] for r in found) >= len(keys) - 1
