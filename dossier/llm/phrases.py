@@ -41,7 +41,7 @@ from dossier.llm.common import partitions, pick, small, stored
 
 #: Every character that ends a piece as one line feed (fixed values of the contract).
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 PART = 1 << 20
 
 Run = tuple[list[bytes], np.ndarray, np.ndarray]
@@ -107,15 +107,24 @@ def pack(run: Run) -> bytes:
     return zstandard.compress(head + used + np.ascontiguousarray(ids).tobytes() + few.tobytes(), 1)
 
 
-def unpack(block: bytes) -> Run:
+def unpack(block: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A run with its words joined by line feeds."""
     data = zstandard.decompress(block)
     size, n, width, id_bytes, count_bytes = struct.unpack_from("<QQBBB", data)
     at = struct.calcsize("<QQBBB")
-    words = data[at : at + size].split(b"\n")
+    words = data[at : at + size]
     ids = np.frombuffer(data, np.dtype(f"u{id_bytes}"), n * width, at + size).reshape(width, n).T.astype(np.int32)
     return words, ids, np.frombuffer(data, np.dtype("u1" if count_bytes == 1 else "i8"), n, at + size + n * width * id_bytes).astype(np.int64)
 
 
+def split_words(joined: bytes) -> pa.Array:
+    """Words joined by line feeds, without an object for each."""
+    a = np.frombuffer(joined, np.uint8)
+    inside = a != 10
+    offsets = np.concatenate([[0], np.cumsum(inside)[~inside], [inside.sum()]]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(a[inside])])
+
+
 def named(words: list[bytes], row: np.ndarray) -> list[bytes]:
     return [words[k - 1][:100] for k in row if k]
 
@@ -174,7 +183,8 @@ def cut(borders: dict[str, list[tuple[int, list[bytes]]]], firsts: dict[str, int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches, 1):
             lang = b.column("lang")[0].as_py()
-            words, w, counts = unpack(b.column("run")[0].as_py())
+            joined, w, counts = unpack(b.column("run")[0].as_py())
+            words = joined.split(b"\n")
             wide = np.zeros((len(w), 4), np.int64)
             wide[:, : w.shape[1]] = 2 * w
             keys = wide[:, 0] << 32 | wide[:, 1], wide[:, 2] << 32 | wide[:, 3]
@@ -192,14 +202,15 @@ def counted(least: int):
 
     def together(lang: str, blocks: list[bytes]) -> pa.RecordBatch:
         runs = [unpack(x) for x in blocks]
-        every = pa.array([x for words, _, _ in runs for x in words], pa.large_binary()).dictionary_encode()
+        every = split_words(b"\n".join(words for words, _, _ in runs)).dictionary_encode()
         order = pc.sort_indices(every.dictionary).to_numpy()
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(1, len(order) + 1)
         codes, at, ids = place[every.indices.to_numpy()], 0, []
         for words, w, _ in runs:
-            ids.append(np.r_[np.int32(0), codes[at : at + len(words)]][w])
-            at += len(words)
+            n = words.count(b"\n") + 1
+            ids.append(np.r_[np.int32(0), codes[at : at + n]][w])
+            at += n
         given, counts = np.concatenate(ids), np.concatenate([c for _, _, c in runs])
         del runs, ids
         w, n = merged(given, counts)

@@ -117,7 +117,9 @@ def test_windows_of_segments_equal_those_of_the_text():
         for stretch, upto in phrases.segments(data, ahead, size):
             run, n = phrases.windows(stretch, upto, 4)
             if n:
-                words, w, counts = phrases.unpack(phrases.pack(run))
+                joined, w, counts = phrases.unpack(phrases.pack(run))
+                words = joined.split(b"\n")
+                assert phrases.split_words(joined).to_pylist() == words
                 for row, c in zip(w, counts, strict=True):
                     found[tuple(words[k - 1] for k in row if k)] += int(c)
         assert found == wanted
