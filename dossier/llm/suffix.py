@@ -173,32 +173,52 @@ def settle(rows: DataFrame, group: int = GROUP, hot_rows: int = HOT_ROWS) -> Dat
 
 
 def suffix_order(data: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """The places of data in the order of the strings from there to stop (the end of their stretch); ties by place."""
+    """The places of data in the order of the strings from there to stop (the end of their stretch); ties by place.
+
+    Prefixes of doubled width: places whose prefix stands once, or ends within it, are settled, and each round sorts
+    only the others, by the rank of what follows.
+    """
     n = len(data)
-    place = np.arange(n)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for k in range(7):  # a byte and its presence take 9 bits
-        here = np.where(place + k < stop, padded[k : n + k].astype(np.uint64) + np.uint64(1), np.uint64(0))
-        key = (key << np.uint64(9)) | here
-    order = np.argsort(key, kind="stable")
-    rank = _ranks(key, order)
-    width = 7
-    longest = int((stop - place).max(initial=0))
-    while width < longest and rank[order[-1]] < n - 1:
-        beyond = np.where(place + width < stop, rank[np.minimum(place + width, n - 1)] + 1, 0)
-        key = rank * np.int64(n + 1) + beyond
-        order = np.argsort(key, kind="stable")
-        rank = _ranks(key, order)
+    bits, place = n.bit_length(), np.arange(n)
+    present = np.flatnonzero(np.bincount(data, minlength=256))
+    code = np.zeros(256, np.int64)
+    code[present] = np.arange(1, len(present) + 1)  # 0 stands behind the end
+    wide = len(present).bit_length()
+    width = (63 - bits) // wide
+    padded = np.concatenate([code[data], np.zeros(width, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key = (key << wide) | padded[k : n + k]
+    behind = wide * np.maximum(width - (stop - place), 0)
+    order, new = _sorted_groups((key >> behind) << behind, place, bits, wide)
+    left, rank = place, np.empty(n, np.int32 if bits < 32 else np.int64)
+    while True:
+        first = np.flatnonzero(new)
+        members = np.diff(np.r_[first, len(new)])
+        group = np.repeat(left[first], members)
+        rank[order[left]] = group
+        several = np.repeat(members > 1, members)
+        left, group = left[several], group[several]
+        if not len(left):
+            return order
+        at = order[left]
+        then = at + width
+        follows = np.where(then < stop[at], rank[np.minimum(then, n - 1)] + np.int64(1), 0)
+        if 3 * bits <= 63:
+            order[left], new = _sorted_groups((group << bits) | follows, at, bits, bits)
+        else:
+            by = np.lexsort((at, follows, group))
+            group, follows = group[by], follows[by]
+            order[left] = at[by]
+            new = np.r_[True, (group[1:] != group[:-1]) | (follows[1:] != follows[:-1])] | (follows == 0)
         width *= 2
-    return order
 
 
-def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-    k = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.r_[False, k[1:] != k[:-1]])
-    return rank
+def _sorted_groups(key: np.ndarray, place: np.ndarray, bits: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (of so many bits) by key and place, and whether each is the first of its key, or alone as the last bits of its key are 0."""
+    row = np.sort((key << bits) | place)
+    place, key = row & ((1 << bits) - 1), row >> bits
+    return place, np.r_[True, key[1:] != key[:-1]] | (key & ((1 << last) - 1) == 0)
 
 
 class RunLengthIndex:
@@ -260,7 +280,7 @@ def compare(stretches: DataFrame, size: int) -> DataFrame:
     """stretches: h, doc_id, t, first, data, dealt and sorted by h. Marks as MARKS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["h"], INDEX_BYTES, "data"):
+        for t in whole_groups(small(batches, 1000), ["h"], INDEX_BYTES, "data"):
             data, starts, lengths = flat_bytes(t.column("data").combine_chunks())
             twice = np.flatnonzero(RunLengthIndex(data, starts, lengths).repeated(size))
             if not len(twice):

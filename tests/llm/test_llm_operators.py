@@ -588,6 +588,36 @@ def test_run_length_index_statistics():
         assert index.repeated(size).tolist() == [len(s) >= size and times[s[:size]] > 1 for s in strings]
 
 
+@pytest.mark.parametrize("kinds", [1, 2, 26, 256])
+def test_suffix_order(kinds):
+    rng = np.random.default_rng(kinds)
+    text = rng.integers(0, kinds, 400).astype(np.uint8)
+    parts = [text, text[100:300], text[150:250], text[150:250], text[:1]]
+    data, lengths = np.concatenate(parts), np.array([len(p) for p in parts])
+    stop = np.repeat(np.cumsum(lengths), lengths)
+    assert suffix.suffix_order(data, stop).tolist() == sorted(range(len(data)), key=lambda p: (data[p : stop[p]].tobytes(), p))
+
+
+@pytest.mark.parametrize("n", [100_000, 2_200_000])
+def test_suffix_order_sorts_settled_places_once(monkeypatch, n):
+    """A long repeat doesn't have all other places sorted at each width, be their numbers of up to 21 bits or longer."""
+    rng = np.random.default_rng(2)
+    text = rng.integers(97, 123, n).astype(np.uint8)
+    lengths = np.array([n, 500, 300])
+    data, stop = np.concatenate([text, text[100:600], text[200:500]]), np.repeat(np.cumsum(lengths), lengths)
+    sorted_places = []
+    for name in ("sort", "argsort", "lexsort"):
+        monkeypatch.setattr(np, name, lambda x, *a, real=getattr(np, name), **k: sorted_places.append(len(x[0]) if isinstance(x, tuple) else len(x)) or real(x, *a, **k))
+    order = suffix.suffix_order(data, stop)
+    monkeypatch.undo()
+    assert sum(sorted_places) < 2 * len(data)
+    rank = np.argsort(order)
+    assert (np.bincount(order, minlength=len(data)) == 1).all()
+    for k in np.r_[rank[100:600], rank[n:], rng.integers(1, len(order), 2000)]:
+        a, b = ((data[p : stop[p]].tobytes()[:1000], p) for p in order[k - 1 : k + 1]) if k else ((b"", 0), (b"", 1))
+        assert a < b
+
+
 def test_cut_characters(spark):
     passage = "\xe9" * 150
     df = spark.createDataFrame([(1, "a" + passage + "b"), (2, "\u0229" + passage[1:] + "c")], "doc_id long, text string")
