@@ -23,7 +23,7 @@ NORMAL, GRADUATED, WHOLE = ("concat(ticker in ('en', 'de'), '-', period_year div
 
 
 def _chosen(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
-    rows = scored(spark, sf_dir).withColumn("part", F.expr(part))
+    rows = settle(scored(spark, sf_dir, 8).withColumn("part", F.expr(part)))
     return select_with_floor(rows, 2, 8, ["q", "part"]).select("q", "part", "chunk_id", "ticker", "period_year", "score", F.col("place").cast("long"))
 
 
@@ -40,7 +40,7 @@ def select_with_floor_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capacity_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dropped_pairs(scored(spark, sf_dir), 2, 8, ["q"])
+    return dropped_pairs(settle(scored(spark, sf_dir, 1)), 2, 8, ["q"])
 
 
 REQUEST = "concat(section, '-', period_year div 3)"
