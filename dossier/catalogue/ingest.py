@@ -120,9 +120,9 @@ SECONDS = "unix_micros(cast(ts as timestamp)) / 1000000"
 
 
 def token_bucket_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events as requests of their value in tokens, at a bucket of 1000 that fills in a day."""
+    """Each user's events as requests of their value in tokens, at a bucket of 1000 that fills in twelve days; larger ones wait for all of their tokens."""
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.floor(F.expr(SECONDS)).cast("double").alias("at"), F.floor(F.col("value") * 2).cast("double").alias("tokens"))
-    return folds.waits(rows, ["user_id"], ["ts", "event_id"], "at", "tokens", 1000.0, 1 / 1024, start_full=False).select("event_id", F.round("wait", 3).alias("wait"))
+    return folds.waits(rows, ["user_id"], ["ts", "event_id"], "at", "tokens", 1000.0, 1 / 1024, start_full=False, debt=True).select("event_id", F.round("wait", 3).alias("wait"))
 
 
 def breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,9 +30,9 @@ def numbered_batches(rows: DataFrame, by: list[str], order: list[str], tokens: s
     return scan(rows, by, order, Batches(tokens, most))
 
 
-def waits(requests: DataFrame, by: list[str], order: list[str], at: str, tokens: str, capacity: float, rate: float, start_full: bool = True) -> DataFrame:
-    """requests with `wait` as bucket_waits() finds it, within each group of `by`, of any length."""
-    return scan(requests, by, order, Bucket(at, tokens, capacity, rate, start_full))
+def waits(requests: DataFrame, by: list[str], order: list[str], at: str, tokens: str, capacity: float, rate: float, start_full: bool = True, debt: bool = False) -> DataFrame:
+    """requests with `wait` as bucket_waits() finds it, within each group of `by`, of any length; debt serves requests above the capacity too."""
+    return scan(requests, by, order, Bucket(at, tokens, capacity, rate, start_full, debt))
 
 
 def replay(outcomes: DataFrame, by: list[str], order: list[str], at: str, outcome: str, threshold: int = 3, reset_s: float = 30.0) -> DataFrame:

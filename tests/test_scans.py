@@ -127,6 +127,14 @@ def test_a_request_above_the_capacity_fails(spark):
         folds.waits(spark.createDataFrame([("a", 1, 0.0, 9.0)], "g string, i int, at double, tokens double"), ["g"], ["i"], "at", "tokens", 5.0, 1.0).collect()
 
 
+def test_a_request_above_the_capacity_waits_for_its_tokens(spark):
+    """In one part and over many, as the sequential pass has it."""
+    requests = [(float(5 * i), float(n)) for i, n in enumerate([3, 40, 1, 0, 13, 2, 26, 5] * 4)]
+    table = spark.createDataFrame([("a", i, at, n) for i, (at, n) in enumerate(requests)], "g string, i int, at double, tokens double")
+    found = folds.waits(table, ["g"], ["i"], "at", "tokens", 12.0, 2.0, start_full=False, debt=True)
+    assert [r["wait"] for r in found.orderBy("i").collect()] == pytest.approx(waits_of(requests, 12.0, 2.0, False))
+
+
 def test_one_group_of_a_million_rows(spark):
     """Every task takes a share of the only group."""
     table = spark.range(1_000_000).select(F.lit("u").alias("g"), "id", (F.col("id") * 2).cast("double").alias("at"), (F.col("id") % 7).alias("tokens"))
