@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.catalogue.base import CORPUS_SQL, DISTANCE_SQL, TERMS_SQL, asked_cells, corpus, table, term_index, topics
+from dossier.catalogue.base import CORPUS_SQL, DISTANCE_SQL, TERMS_SQL, asked_cells, corpus, sizes, table, term_index, topics
 from dossier.functions.lexemes import query_lexemes, to_lexemes, words
 from dossier.operators import retrieval as R
 from dossier.operators import scorer
@@ -61,7 +61,7 @@ def hybrid_cell_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = corpus(spark, sf_dir)
     found = R.hybrid_search(asked_cells(spark, sf_dir, chunks), chunks, term_index(spark, sf_dir, topics(spark, sf_dir)), CELL)
     # Of the text only its length is returned, so no text is moved.
-    rows = found.join(chunks.select("chunk_id", "ticker", "period_year", "section", F.length("text").cast("long").alias("n_chars")), ["chunk_id", "ticker", "period_year"])
+    rows = found.join(sizes(spark, sf_dir), ["chunk_id", "ticker", "period_year"])
     return rows.select(*CELL, "chunk_id", F.round("score", 9).alias("score"), F.col("rank").cast("long"), "section", "n_chars")
 
 
